@@ -2,9 +2,65 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import queries
+from tessera.llm.common import Scratch
+from tessera.llm.decontaminate import decontaminate
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.sentencepiece_codec import encode
+from tessera.llm.simhash import bits_for, simhash_components
+from tessera.llm.toxicity import toxicity, train_on
+
+WORDS = 4
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is under the threshold."""
+    model = train_on(spark, docs, queries.table(spark, sf_dir, "labels"))
+    return _without(docs, toxicity(spark, docs, model).filter(F.col("score") >= queries.TOXIC_FROM))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the one with the largest id."""
+    return _without(docs, exact_dedup(spark, docs).filter("NOT kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts: five-word shingles, an estimated similarity of 0.8 or more."""
+    found = simhash_components(spark, docs, shingle=5, words=WORDS, most_bits=bits_for(0.8, WORDS), free_bits=5)
+    return _without(docs, found.filter("component_id <> doc_id"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    return _without(docs, decontaminate(spark, docs, queries.table(spark, sf_dir, "benchmark")))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` of the documents that are left."""
+    return encode(spark, docs, queries.piece_model_path()).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("sentencepiece", tokens),
+]
+
+#: Toxicity, SimHash, alignment and the codec can't be expressed in SQL.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = queries.table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

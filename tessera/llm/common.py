@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from tessera.functions.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees (``spark.checkpoint.dir``); a temporary one only where unset."""
@@ -56,6 +58,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: st
     Batches are cut to about BATCH_BYTES of input, so that a run of very long texts needs no more
     memory than a run of short ones.
     """
+    ship(df.sparkSession)
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.decontaminate import decontaminate
+from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.secrets import secret_scan
+from tessera.llm.secrets_sql import secret_scan_sql
+from tessera.llm.sentencepiece_codec import round_trips
+from tessera.llm.simhash import simhash_components
+from tessera.llm.token_counts import token_counts
+from tessera.llm.toxicity import held_out, toxicity, train_on
 
 PIECE_MODEL = "piece_bpe_32k.model"
+TOXIC_FROM = 0.7
 
 
 def piece_model_path() -> str:
@@ -19,21 +30,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.token_counts import token_counts
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark passage: ``doc_id, item_id, score, first_word, last_word, n_seeds``."""
+    return decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted, n_clauses`` of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(spark, docs, train_on(spark, docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_clauses")
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(spark, table(spark, sf_dir, "documents"))
+
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(spark, table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, fingerprint, component_id``: four-word shingles, links at up to four differing bits."""
+    found = simhash_components(spark, table(spark, sf_dir, "documents"), shingle=4, most_bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, table(spark, sf_dir, "documents"), piece_model_path())
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.sentencepiece_codec import round_trips
-
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip`` of every document."""
     return round_trips(spark, table(spark, sf_dir, "documents"), piece_model_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
+    "op3_secrets": op3_secrets,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_simhash": op5_simhash,
     "op7_token_counts": op7_token_counts,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_secrets": secret_scan_sql(),
+    "op4_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+    """,
+}
