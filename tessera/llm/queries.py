@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.licenses import license_scan, license_scan_sql
+from tessera.llm.repeats import remove_repeats
 from tessera.llm.secrets import secret_scan
 from tessera.llm.secrets_sql import secret_scan_sql
 from tessera.llm.sentencepiece_codec import round_trips
 from tessera.llm.simhash import simhash_components
 from tessera.llm.token_counts import token_counts
 from tessera.llm.toxicity import held_out, toxicity, train_on
+from tessera.llm.warc import derivatives, derivatives_sql, page_responses
 
 PIECE_MODEL = "piece_bpe_32k.model"
 TOXIC_FROM = 0.7
@@ -56,6 +59,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: ``documents`` has no paths: its rows are laid out in directories of their source, 32 a directory and 32
+#: directories above each other, where every 32nd row stands for the directory's licence file.
+PATH_SQL = "source || '/' || (doc_id {div} 1024) || '/' || (doc_id {div} 32) || '/' || CASE WHEN doc_id % 32 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END"
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, path, license, score, basis, from_path`` of every document."""
+    return license_scan(spark, table(spark, sf_dir, "documents"), path=F.expr(PATH_SQL.format(div="div")))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, table(spark, sf_dir, "documents"), piece_model_path())
 
@@ -65,14 +78,28 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(spark, table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linked records of every page, with digests in place of blocks and records."""
+    found = derivatives(spark, page_responses(table(spark, sf_dir, "pages")))
+    return found.select("record_id", "warc_type", "refers_to", "target_uri", "content_type", "content_length", "block_digest", "source_digest", F.sha2(F.encode("record", "utf-8"), 256).alias("record_sha256"))
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
+    return remove_repeats(spark, table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_simhash": op5_simhash,
+    "op6_licenses": op6_licenses,
     "op7_token_counts": op7_token_counts,
+    "op8_warc": op8_warc,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +108,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op6_licenses": license_scan_sql(PATH_SQL.format(div="//")),
+    "op8_warc": derivatives_sql(),
 }
