@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import hunk_header, identifiers
 
-W = Window.partitionBy("diff_id").orderBy("pos")
-
 
 def parse_diff(lines: DataFrame) -> DataFrame:
     """S-9, W-2b: lines ``diff_id, pos, line`` with the file and hunk they belong to, their mark and their old
     and new line numbers. Lines before a hunk, and those that begin with a backslash, are left out."""
     line = F.col("line")
     d = lines.withColumn("h", hunk_header(line))
-    so_far = W.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("diff_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     header = line.rlike(r"^(diff --git |index |--- |\+\+\+ |new file|deleted file|similarity|rename )")
     d = d.withColumn("file", F.last(F.when(line.rlike(r"^\+\+\+ "), F.regexp_replace(line, r"^\+\+\+ (b/)?", "")), ignorenulls=True).over(so_far))
     d = d.withColumn("hunk", F.last(F.when(F.col("h").isNotNull(), F.struct("pos", "h")), ignorenulls=True).over(so_far))
@@ -44,14 +42,15 @@ def classify(old: Column, new: Column) -> Column:
     """F-8: (kind, confidence) of a change: methods before functions before interfaces before structs."""
     has = lambda c, p: c.rlike(p)
     out = F
+    as_ = lambda kind, sure: F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("confidence"))
     for kind, p in (("method", r"(?m)^\s*func\s*\("), ("function", r"(?m)^\s*func\s+\w"), ("interface", r"(?m)^\s*type\s+\w+\s+interface\b"), ("struct", r"(?m)^\s*type\s+\w+\s+struct\b"), ("import", r'(?m)^\s*(import\b|"[\w./-]+"$)')):
         both, only_new, only_old = has(old, p) & has(new, p), has(new, p) & ~has(old, p), has(old, p) & ~has(new, p)
-        out = out.when(both, F.struct(F.lit(f"{kind}_modified").alias("kind"), F.lit(0.8).alias("confidence")))
-        out = out.when(only_new, F.struct(F.lit(f"{kind}_added"), F.lit(0.9)))
-        out = out.when(only_old, F.struct(F.lit(f"{kind}_removed"), F.lit(0.9)))
+        out = out.when(both, as_(f"{kind}_modified", 0.8))
+        out = out.when(only_new, as_(f"{kind}_added", 0.9))
+        out = out.when(only_old, as_(f"{kind}_removed", 0.9))
     gone, came = F.array_except(identifiers(old), identifiers(new)), F.array_except(identifiers(new), identifiers(old))
     renamed = (F.size(gone) == 1) & (F.size(came) == 1) & (F.regexp_replace(old, F.concat(F.lit(r"\b"), gone[0], F.lit(r"\b")), came[0]) == new)
-    return out.when(renamed, F.struct(F.lit("rename"), F.lit(0.7))).otherwise(F.struct(F.lit("modification"), F.lit(0.6)))
+    return out.when(renamed, as_("rename", 0.7)).otherwise(as_("modification", 0.6))
 
 
 def names_of(text: Column) -> Column:
