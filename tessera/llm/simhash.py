@@ -159,6 +159,7 @@ def forest(values: np.ndarray, most: int) -> list[tuple[int, int]]:
     compared once with those not reached yet, so a tight group costs about its size, not its square.
     """
     edges = []
+    values = np.ascontiguousarray(values).view(np.uint64)  # bits of signed numbers are counted by absolute value
     left = np.arange(len(values))
     while len(left):
         queue, left = [int(left[0])], left[1:]
@@ -208,7 +209,7 @@ def linked(rows: DataFrame, most: int, words: int, free: int) -> DataFrame:
                 one, two = block[:-step], block[step:]
                 ok = (one[:, 0] == two[:, 0]) & small[:-step]
                 i = np.flatnonzero(ok)
-                near = np.bitwise_count(one[i, 2:] ^ two[i, 2:]).sum(axis=1, dtype=np.int64) <= most
+                near = np.bitwise_count((one[i, 2:] ^ two[i, 2:]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
                 edges.append(np.stack((one[i[near], 1], two[i[near], 1]), axis=1))
             for s, e in zip(starts[sizes > few].tolist(), stops[sizes > few].tolist(), strict=True):
                 pairs = np.array(forest(block[s:e, 2:], most), np.int64).reshape(-1, 2)
