@@ -352,6 +352,14 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 DONE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
+def bucket_count(spark: SparkSession, docs: DataFrame, bucket_bytes: int = 16 << 20, most: int = 100_000) -> int:
+    """Buckets of about ``bucket_bytes`` of stored input, at least as many as shuffle partitions; of sources
+    that don't know their size only the latter counts."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(x for x in sizes if x < 1 << 60) // bucket_bytes + 1))
+
+
 def remove_repeats(
     spark: SparkSession,
     docs: DataFrame,
@@ -376,8 +384,7 @@ def remove_repeats(
     ship(spark)
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(text_or_empty(text_col), "utf-8").alias("data")).filter("doc_id IS NOT NULL")
-    plan = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(str(plan)) // (16 << 20) + 1)
+    buckets = bucket_count(spark, docs)
     row = "bucket int, records binary, doc bigint, start bigint, stop bigint"
     found = texts.mapInArrow(_sketch(length, buckets), row).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     found = scratch.table(found.mapInArrow(_settle, "doc bigint, start bigint, stop bigint, anchor bigint, crowd bigint"))
