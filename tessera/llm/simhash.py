@@ -148,8 +148,10 @@ def anchors(blocks: np.ndarray, place: np.ndarray, free: int) -> tuple[np.ndarra
 
 
 def bits_for(jaccard: float, words: int) -> int:
-    """Differing bits, of 64 * ``words``, expected of two texts of equal size at this Jaccard similarity."""
-    return int(64 * words * math.acos(2 * jaccard / (1 + jaccard)) / math.pi)
+    """The most differing bits, of 64 * ``words``, at which texts count as of this Jaccard similarity: what
+    is expected of two texts of equal size, and one standard deviation, as the bits only estimate it."""
+    bits, chance = 64 * words, math.acos(2 * jaccard / (1 + jaccard)) / math.pi
+    return int(bits * chance + math.sqrt(bits * chance * (1 - chance)))
 
 
 def forest(values: np.ndarray, most: int) -> list[tuple[int, int]]:
