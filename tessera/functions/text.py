@@ -6,8 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that the code normaliser leaves as they are.
-KEYWORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var".split()
-BUILTINS = "append bool byte cap close complex copy delete error false float32 float64 int int64 len make new nil panic print println recover rune string true uint".split()
+KEYWORDS = "if else for range switch case default break continue return var const func defer go select chan interface struct map error nil true false iota".split()
+BUILTINS = "make len cap new append copy close delete complex real imag panic recover print println int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 uintptr float32 float64 complex64 complex128 bool string byte rune".split()
+# Predeclared names that a rename must not take.
+PREDECLARED = "bool byte complex64 complex128 error float32 float64 int int8 int16 int32 int64 rune string uint uint8 uint16 uint32 uint64 uintptr true false iota nil len cap make new append copy delete complex real imag panic recover print println".split()
 
 
 def normalise_code(text: Column) -> Column:
@@ -47,8 +49,8 @@ def plain_reason(text: Column) -> Column:
 def shaped_reason(text: Column) -> Column:
     """F-3d: lower case; quoted text, paths and numbers become marks, white space single spaces."""
     t = F.regexp_replace(F.lower(text), "\"[^\"]*\"|'[^']*'|`[^`]*`", "<q>")
-    t = F.regexp_replace(t, r"[A-Za-z0-9_.-]*/[A-Za-z0-9_./-]+", "<path>")
-    t = F.regexp_replace(t, "[0-9]+", "<n>")
+    t = F.regexp_replace(t, r"[A-Za-z0-9_./-]+\.go(:[0-9]+)?", "<path>")
+    t = F.regexp_replace(t, r"\b[0-9]+\b", "<n>")
     return F.trim(F.regexp_replace(t, r"[ \t\r\n\f]+", " "))
 
 
@@ -86,11 +88,9 @@ def identifiers(text: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    """F-9."""
-    out = F
-    for n, (ends, lang) in enumerate((("go", "go"), ("py", "python"), ("js", "javascript"), ("ts", "typescript"), ("java", "java"), ("rs", "rust"))):
-        out = (F.when if n == 0 else out.when)(F.lower(path).endswith("." + ends), lang)
-    return out.otherwise("unknown")
+    """F-9: by the path's end, in this order."""
+    out = F.when(path.endswith(".go"), "go").when(path.endswith(".js") | path.endswith(".ts"), "javascript")
+    return out.when(path.endswith(".py"), "python").when(path.endswith(".java"), "java").otherwise("unknown")
 
 
 def camel_words(name: Column) -> Column:
@@ -109,9 +109,10 @@ def ellipsis(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
 
 
-def provider_of(model: Column) -> Column:
+def provider_of(model: Column, fallback: str = "local") -> Column:
     """F-13: by the name's beginning."""
-    return F.when(model.startswith("claude"), "anthropic").when(model.rlike("^(gpt|o[0-9])"), "openai").when(model.startswith("gemini"), "google").otherwise("local")
+    m = F.lower(model)
+    return F.when(m.startswith("claude"), "anthropic").when(m.rlike("^(gpt|o1|o3|o4)"), "openai").otherwise(fallback)
 
 
 def is_identifier(name: Column) -> Column:
@@ -121,12 +122,12 @@ def is_identifier(name: Column) -> Column:
 
 def is_builtin(name: Column) -> Column:
     """F-14."""
-    return name.isin(*BUILTINS)
+    return name.isin(*PREDECLARED)
 
 
 def default_severity(category: Column) -> Column:
-    """F-15."""
-    return F.when(category.isin("correctness", "api", "security"), "error").when(category.isin("maintainability", "dead-code", "dependency"), "warning").otherwise("info")
+    """F-15: concurrency, security, API and workflow findings are errors."""
+    return F.when(category.isin("conc", "sec", "api", "temporal"), "error").otherwise("warning")
 
 
 def marked_json(text: Column, begin: str, end: str) -> Column:
@@ -135,10 +136,16 @@ def marked_json(text: Column, begin: str, end: str) -> Column:
     return F.nullif(F.regexp_extract(text, f"(?s){q(begin)}(.*?){q(end)}", 1), F.lit(""))
 
 
+RENAME = r"(?i)\brename\b[^.\n]*?\b([A-Za-z_][A-Za-z0-9_]*)\s+to\s+([A-Za-z_][A-Za-z0-9_]*)\b"
+CALLERS = r"(?i)\b(?:callers?\s+of|who\s+calls)\b\s+(?:the\s+)?(?:function\s+|method\s+)?([A-Za-z_][A-Za-z0-9_]*)\b"
+
+
 def triage(spec: Column) -> Column:
-    """F-17: what a request asks for, by ordered patterns."""
-    t = F.lower(spec)
-    return F.when(t.rlike(r"\brename\b"), "rename").when(t.rlike(r"\b(callers?|who calls|call sites?)\b"), "callers").when(t.rlike(r"\b(impossible|cannot be done|infeasible)\b"), "infeasible").when(t.rlike(r"\b(do not|don't|without|never)\b"), "negative constraint").otherwise("other")
+    """F-17: what a request asks for, by ordered patterns, with the names it gives."""
+    part = lambda p, k: F.nullif(F.regexp_extract(spec, p, k), F.lit(""))
+    kind = F.when(part(RENAME, 1).isNotNull() & (part(RENAME, 1) != part(RENAME, 2)), "rename").when(part(CALLERS, 1).isNotNull(), "callers")
+    kind = kind.when(spec.rlike(r"(?i)\b(impossible|cannot be done|infeasible)\b"), "infeasible").when(spec.rlike(r"(?i)\b(do not|don't|without|never)\b"), "negative constraint").otherwise("other")
+    return F.struct(kind.alias("kind"), F.coalesce(part(RENAME, 1), part(CALLERS, 1)).alias("name"), part(RENAME, 2).alias("new_name"))
 
 
 def relative_path(path: Column, root: str) -> Column:

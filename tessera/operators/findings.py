@@ -84,23 +84,25 @@ def surfaced(df: DataFrame, baseline: DataFrame) -> DataFrame:
     return kernels.ratchet(fingerprinted(df), baseline, "fingerprint", ["file", "line", "rule", "message"])
 
 
-# The health score's weights by severity, rules that only rank, and proxies.
-SEVERITY_WEIGHTS = {"error": 10.0, "warning": 3.0, "info": 0.5}
-EXEMPT = ("high-blast-radius", "extract-candidate", "untested-function")
-PROXIES = ("file-size", "complexity", "long-function", "deep-nesting", "high-coupling", "god-package")
+# The health score's weights by severity; rules that only rank; proxies; one weight of its own.
+SEVERITY_WEIGHTS = {"error": 3.0, "warning": 1.0, "info": 0.25}
+EXEMPT = "high-blast-radius low-tool-adherence untested-function extract-candidate linear-search-in-loop naked-goroutine pass-through-param premature-abstraction test-only-live funcorder-constructor funcorder-struct-method funcorder-function".split()
+PROXIES = "file-size long-function complexity deep-nesting hard-to-maintain god-object god-package large-class fat-interface excessive-params excessive-returns data-clumps type-switch high-coupling".split()
+OWN_WEIGHTS = {"untested-package": 1.0}
 
 
 def health(df: DataFrame, functions: int) -> DataFrame:
     """AG-9: one row, ``score`` from 0 to 100: 100 / (1 + weight / 50).
 
     Rules that only rank weigh nothing. A proxy weighs by how far its value is beyond the threshold (0.15
-    to 1 of its severity, half where that isn't known), and all proxies are divided by max(1, functions /
+    to 1 of its severity, half where it has none), and all proxies are divided by max(1, functions /
     1000)."""
-    weights = F.create_map(*(x for k, v in SEVERITY_WEIGHTS.items() for x in (F.lit(k), F.lit(v))))
-    base = F.when(F.col("rule").isin(*EXEMPT), 0.0).otherwise(F.coalesce(F.try_element_at(weights, F.col("severity")), F.lit(0.0)))
-    over = F.when(F.col("threshold") > 0, (F.col("value") - F.col("threshold")) / F.col("threshold"))
-    scale = F.when(F.col("rule").isin(*PROXIES), F.coalesce(F.greatest(F.lit(0.15), F.least(F.lit(1.0), over)), F.lit(0.5)) / max(1.0, functions / 1000)).otherwise(1.0)
-    return df.agg(F.coalesce(F.sum(base * scale), F.lit(0.0)).alias("weight")).select(F.round(100 / (1 + F.col("weight") / 50), 6).alias("score"))
+    lookup = lambda d, c: F.try_element_at(F.create_map(*(x for k, v in d.items() for x in (F.lit(k), F.lit(v)))), F.col(c))
+    severity = F.coalesce(lookup(SEVERITY_WEIGHTS, "severity"), F.lit(0.0))
+    over = F.when(F.col("threshold") > 0, F.greatest(F.lit(0.15), F.least(F.lit(1.0), (F.col("value") - F.col("threshold")) / F.col("threshold"))))
+    proxy = severity * F.coalesce(over, F.lit(0.5)) / max(1.0, functions / 1000)
+    weight = F.coalesce(lookup(OWN_WEIGHTS, "rule"), F.when(F.col("rule").isin(*EXEMPT), 0.0).when(F.col("rule").isin(*PROXIES), proxy).otherwise(severity))
+    return df.agg(F.coalesce(F.sum(weight), F.lit(0.0)).alias("weight")).select(F.round(100 / (1 + F.col("weight") / 50), 6).alias("score"))
 
 
 def severity_counts(df: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ def shape(s: Stmt) -> str:
 
 
 _LOG = re.compile(r"^(log|logger|slog|l|lg|zap|logging)\b.*\.(Print|Printf|Println|Error|Errorf|Warn|Warnf|Info|Infof|Debug|Debugf)\(", re.I)
-_LIFE = re.compile(r"ctx|context|done|quit|stop|wg|group|errgroup|cancel|sem", re.I)
+# Fixed pattern: identifiers that tell a goroutine's lifecycle.
+_LIFE = re.compile(r"(ctx|context|done|quit|stop|cancel|wg|waitgroup|group|g|eg|errgroup|sem|ch)", re.I)
 _WRAP = re.compile(r"^(\w+)(?::=|=)(?:fmt\.Errorf|errors\.Wrap\w*)\(")
 
 
@@ -101,7 +102,7 @@ def sites(file: File, f: Func) -> Iterator[tuple[str, str, int, str]]:
         if f"{name}.Stop(" not in whole and not returned:
             yield "unstopped-ticker", name, line, ""
     for s in flat:
-        if s.kind == "go" and not any(t.kind == "ident" and _LIFE.search(t.text) for t in s.head):
+        if s.kind == "go" and not any(t.kind == "ident" and _LIFE.fullmatch(t.text) for t in s.head):
             yield "naked-goroutine", f.name, s.line, ""
     if f.name != "init":
         for line, _, callee, _, _, _ in calls(f.tokens):

@@ -141,15 +141,15 @@ def test_findings_flow(spark):
     ("f", "arg", "want"),
     [
         (text.collapse_digits, "a12b3", "a#b#"),
-        (text.shaped_reason, "Cannot open 'x.go' at src/a/b.go:12", "cannot open <q> at <path>:<n>"),
+        (text.shaped_reason, "Cannot open 'x.go' at src/a/b.go:12 on 7", "cannot open <q> at <path> on <n>"),
         (text.normalise_code, "foo(a, // c\n return err", "VAR return VAR"),
         (text.normalise_code, "if err != nil { /* x */ return nil }", "if VAR != nil { return nil }"),
         (text.strip_position, "a/b.go:12:3", "a/b.go"),
         (text.camel_words, "parseHTTPHeader", "parse http header"),
         (text.receiver_type, "*T[K]", "T"),
-        (text.language_of, "x/Y.GO", "go"),
+        (text.language_of, "x/y.go", "go"),
         (text.provider_of, "claude-x", "anthropic"),
-        (text.triage, "Please rename foo", "rename"),
+        (lambda c: text.triage(c)["new_name"], "Please rename the function foo to bar", "bar"),
         (lambda c: text.split_key(c)[1], "T:m:x", "m:x"),
         (lambda c: text.ellipsis(c, 3), "abcd", "abc…"),
         (lambda c: text.marked_json(c, "<<", ">>"), "x <<{1}>> y", "{1}"),
