@@ -74,7 +74,7 @@ def decontaminate(
     item_text_col: str = "text",
     gram: int = 4,
     stretch: int = 6,
-    least_score: float = 0.6,
+    least_score: float = 0.5,
     least_words: int = 8,
     block_words: int = 500_000,
 ) -> DataFrame:
