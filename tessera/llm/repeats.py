@@ -60,9 +60,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def segments(data: bytes, starts: np.ndarray, stops: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Segments of the texts ``data[start:stop]``: anchor hash, segment hash, hashes of what stands left
-    and right of the anchor (0 where too little does), the text's number, first byte and byte after the last."""
+    and right of the anchor (0 where too little does), the text's number, first byte, byte after the last,
+    and how many bytes stand before the anchor."""
     n = len(data)
-    empty = {k: np.empty(0, t) for k, t in (("anchor", np.uint64), ("whole", np.uint32), ("left", np.uint16), ("right", np.uint16), ("doc", np.int64), ("start", np.int64), ("stop", np.int64))}
+    empty = {k: np.empty(0, t) for k, t in (("anchor", np.uint64), ("whole", np.uint32), ("left", np.uint16), ("right", np.uint16), ("doc", np.int64), ("start", np.int64), ("stop", np.int64), ("before", np.uint8))}
     if n < length:
         return empty
     raw = np.frombuffer(data, np.uint8)
@@ -99,7 +100,7 @@ def segments(data: bytes, starts: np.ndarray, stops: np.ndarray, length: int) ->
     after = anchor + GRAM
     right = np.where(after + reach <= stops[doc], part(after, np.minimum(after + reach, n)) >> np.uint64(48) | np.uint64(1), np.uint64(0))
     whole = _mix(part(start, stop) + (anchor - start).astype(np.uint64) * _C + (stop - start).astype(np.uint64))
-    return {"anchor": hashes[anchor], "whole": (whole >> np.uint64(32)).astype(np.uint32), "left": left.astype(np.uint16), "right": right.astype(np.uint16), "doc": doc, "start": start - starts[doc], "stop": stop - starts[doc]}
+    return {"anchor": hashes[anchor], "whole": (whole >> np.uint64(32)).astype(np.uint32), "left": left.astype(np.uint16), "right": right.astype(np.uint16), "doc": doc, "start": start - starts[doc], "stop": stop - starts[doc], "before": (anchor - start).astype(np.uint8)}
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -112,7 +113,7 @@ def _unplanes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-RECORD = (("anchor", "<u8"), ("whole", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("size", "u1"))
+RECORD = (("anchor", "<u8"), ("whole", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("size", "u1"), ("before", "u1"))
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,8 +207,12 @@ def _rows(bucket: pa.Array, records: pa.Array, doc: np.ndarray, start: np.ndarra
 FOUND = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("anchor", pa.int64()), ("crowd", pa.int64())])
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(length: int):
     """Rows of a bucket, sorted by bucket, to intervals (null anchor) and segments that need their bytes."""
+    return lambda batches: _settle_batches(batches, length)
+
+
+def _settle_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     fields: dict[str, list[np.ndarray]] = {k: [] for k, _ in RECORD}
     now = None
     for batch in batches:
@@ -219,7 +224,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), rows.column(4), gap, gap], schema=FOUND)
         for k in np.flatnonzero(~plain).tolist():
             if bucket[k] != now:
-                yield from _settled(fields)
+                yield from _settled(fields, length)
                 now = bucket[k]
                 fields = {k: [] for k, _ in RECORD}
             data, at = records[k].as_py(), 0
@@ -228,10 +233,10 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 width = np.dtype(kind).itemsize * n
                 fields[name].append(_unplanes(data[at : at + width], kind))
                 at += width
-    yield from _settled(fields)
+    yield from _settled(fields, length)
 
 
-def _settled(fields: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _settled(fields: dict[str, list[np.ndarray]], length: int) -> Iterator[pa.RecordBatch]:
     if not fields["anchor"]:
         return
     s = {k: np.concatenate(v) for k, v in fields.items()}
@@ -247,16 +252,25 @@ def _settled(fields: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     gap = pa.nulls(len(doc), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a), pa.array(b), gap, gap], schema=FOUND)
     number = np.cumsum(group)[fresh] - 1
-    need = np.zeros(len(number), bool)
-    for side in ("left", "right"):  # two strings can only agree if the longer of their flanks does
+    agrees = {}
+    for side in ("left", "right"):
         flank = s[side][fresh]
         by = np.lexsort((flank, number))
         same = (number[by][1:] == number[by][:-1]) & (flank[by][1:] == flank[by][:-1]) & (flank[by][1:] != 0)
-        need[by[1:][same]] = True
-        need[by[:-1][same]] = True
+        agrees[side] = np.zeros(len(number), bool)
+        agrees[side][by[1:][same]] = True
+        agrees[side][by[:-1][same]] = True
+    # A string reaches at least ``reach`` bytes beyond its anchor on the right, or more than that on the left.
+    # It can only occur again where that flank does, so strings whose flank doesn't are cut off here.
+    reach = (length - GRAM) // 2
+    anchor = (start + s["before"])[fresh]
+    first, last = start[fresh], stop[fresh]
+    first = np.where(agrees["left"], first, np.maximum(first, anchor + GRAM + reach - length))
+    last = np.where(agrees["right"], last, np.minimum(last, anchor + GRAM + reach - 1))
+    need = (agrees["left"] | agrees["right"]) & (last - first >= length)
     crowd = np.bincount(number[need], minlength=int(number[-1]) + 1)[number]
     at = np.flatnonzero(fresh)[need]
-    yield pa.RecordBatch.from_arrays([pa.array(s["doc"][at]), pa.array(start[at]), pa.array(stop[at]), pa.array(s["anchor"][at].view(np.int64)), pa.array(crowd[need])], schema=FOUND)
+    yield pa.RecordBatch.from_arrays([pa.array(s["doc"][at]), pa.array(first[need]), pa.array(last[need]), pa.array(s["anchor"][at].view(np.int64)), pa.array(crowd[need])], schema=FOUND)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,21 +387,21 @@ def remove_repeats(
     """One row a document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the bytes that stay).
 
     A null text is empty. Ids must be unique integers and not null (rows with a null id are left out);
-    other columns are not read. ``length`` is 50 to 200.
+    other columns are not read. ``length`` is 40 to 130.
 
     An anchor that over ``crowded`` different segments share would be too much for one shard; its
     segments are settled exactly as well, string by string: each string's hash goes to the smallest id
     that has it, with partial minima before the shuffle.
     """
-    if not 40 <= length <= 200:
-        raise ValueError("length must be 40 to 200")
+    if not 40 <= length <= 130:
+        raise ValueError("length must be 40 to 130")
     ship(spark)
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(text_or_empty(text_col), "utf-8").alias("data")).filter("doc_id IS NOT NULL")
     buckets = bucket_count(spark, docs)
     row = "bucket int, records binary, doc bigint, start bigint, stop bigint"
     found = texts.mapInArrow(_sketch(length, buckets), row).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = scratch.table(found.mapInArrow(_settle, "doc bigint, start bigint, stop bigint, anchor bigint, crowd bigint"))
+    found = scratch.table(found.mapInArrow(_settle(length), "doc bigint, start bigint, stop bigint, anchor bigint, crowd bigint"))
     spark._jvm.System.gc()  # lets the engine drop the shuffle files that the table has replaced
     wanted = found.filter("anchor IS NOT NULL").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop", "anchor", "crowd")).alias("wanted"))
     cut = scratch.table(texts.join(wanted, "doc_id").select("data", "wanted", "doc_id").mapInArrow(_cut, "anchor bigint, crowd bigint, doc bigint, start bigint, data binary"))
