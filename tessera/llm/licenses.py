@@ -46,7 +46,7 @@ def tokens(column: Column) -> Column:
 def weighted(rows: DataFrame, key: list[str], counts: DataFrame, total: int) -> DataFrame:
     """``key, token, weight`` of rows with a ``words`` array: frequency times smoothed inverse count."""
     tf = rows.select(*key, F.explode("words").alias("token")).groupBy(*key, "token").agg(F.count("*").alias("tf"))
-    known = tf.join(counts, "token", "left")
+    known = tf.join(counts.hint("merge"), "token", "left")
     idf = F.log(F.lit(1.0 + total) / (F.lit(1.0) + F.coalesce("n", F.lit(0)))) + 1.0
     return known.select(*key, "token", (F.col("tf") * idf).alias("weight"))
 
@@ -68,7 +68,8 @@ def license_scan(
     nearest directory above) or ``none``. Null and empty texts have no header, a null path has no
     ancestors. Null ids are carried; rows that repeat an id share the best header of that id and path.
     Other columns are not read. Equal lines are one row after the first count, however often they occur,
-    and equal directories one row in the join of paths.
+    and equal directories one row in the join of paths. Sides that grow with the input are merged, not
+    broadcast: their repetitive paths are small when compressed, which is all the engine would look at.
     """
     scratch = Scratch(spark)
     text = F.col("text")
@@ -85,9 +86,9 @@ def license_scan(
     norm = mine.groupBy("line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     other = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("other"))
     dots = mine.join(theirs.withColumnRenamed("weight", "theirs"), "token").groupBy("line", "template", "license").agg(F.sum(F.col("weight") * F.col("theirs")).alias("dot"))
-    cosine = dots.join(norm, "line").join(other, "template").select("line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("other")), 6).alias("score"))
+    cosine = dots.join(norm.hint("merge"), "line").join(other, "template").select("line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("other")), 6).alias("score"))
     scored = cosine.filter(F.col("score") >= least).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
-    own = headers.join(scored, "line").groupBy("doc_id", "path").agg(F.min(F.struct("best.score", "best.license", "line_no")).alias("b"))
+    own = headers.join(scored.hint("merge"), "line").groupBy("doc_id", "path").agg(F.min(F.struct("best.score", "best.license", "line_no")).alias("b"))
     own = scratch.table(own.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.score")).alias("score")))
 
     folder = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.when(c.isNotNull(), ""))
@@ -97,11 +98,11 @@ def license_scan(
     folders = rows.select(folder(F.col("path")).alias("folder")).filter("folder IS NOT NULL").distinct()
     above = folders.select("folder", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"))
     above = above.select("folder", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("above"))
-    heirs = above.join(files, "above").groupBy("folder").agg(F.max_by("f", "depth").alias("f"))
+    heirs = above.join(files.hint("merge"), "above").groupBy("folder").agg(F.max_by("f", "depth").alias("f"))
     heirs = heirs.select("folder", F.col("f.license").alias("their_license"), (-F.col("f.s")).alias("their_score"), F.col("f.path").alias("their_path"))
     mine = own.select(F.col("doc_id").alias("d"), F.col("path").alias("p"), F.col("license").alias("l"), F.col("score").alias("s"))
     out = rows.select("doc_id", "path", folder(F.col("path")).alias("folder"))
-    out = out.join(mine, out.doc_id.eqNullSafe(mine.d) & out.path.eqNullSafe(mine.p), "left").join(heirs, "folder", "left")
+    out = out.join(mine.hint("merge"), out.doc_id.eqNullSafe(mine.d) & out.path.eqNullSafe(mine.p), "left").join(heirs.hint("merge"), "folder", "left")
     basis = F.when(F.col("l").isNotNull(), "header").when(F.col("their_license").isNotNull(), "inherited").otherwise("none")
     return out.select("doc_id", "path", F.coalesce("l", "their_license").alias("license"), F.coalesce("s", "their_score").alias("score"), basis.alias("basis"), F.when(F.col("l").isNull(), F.col("their_path")).otherwise(F.col("path")).alias("from_path"))
 
