@@ -52,8 +52,25 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str) -> DataFrame:
+#: What operators keep in a worker process between tasks, by operator.
+kept: dict[str, dict] = {}
+
+
+def keeping(operator: str) -> dict:
+    """The operator's own store in this worker process; it lives until another operator's task runs here."""
+    return kept.setdefault(operator, {})
+
+
+def release(operator: str | None) -> None:
+    """Empty the stores of all other operators, so that a worker holds the memos of one at a time."""
+    for name, store in kept.items():
+        if name != operator:
+            store.clear()
+
+
+def arrow_map(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str, operator: str | None = None) -> DataFrame:
     """``mapInArrow`` over lists: ``make()`` runs once a task and returns ``f(*columns) -> columns``.
+    ``operator`` names whose store stays in the worker.
 
     Batches are cut to about BATCH_BYTES of input, so that a run of very long texts needs no more
     memory than a run of short ones.
@@ -62,6 +79,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: st
     out = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(operator)
         work = None
         for batch in batches:
             rows = max(1, int(batch.num_rows * min(1.0, BATCH_BYTES / max(1, batch.nbytes))))

@@ -21,7 +21,7 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, text_or_empty
+from tessera.llm.common import arrow_map, keeping, text_or_empty
 from tessera.llm.pieces import BPE, CONTROL, SPACE, UNKNOWN, Memo, Pieces, load
 
 
@@ -264,20 +264,18 @@ class Decoder:
         return out
 
 
-_encoders: dict[bytes, Encoder] = {}
-_decoders: dict[bytes, Decoder] = {}
-
-
 def encoder(model: bytes) -> Encoder:
-    if model not in _encoders:
-        _encoders[model] = Encoder(load(model))
-    return _encoders[model]
+    store = keeping("sentencepiece")
+    if ("encoder", model) not in store:
+        store["encoder", model] = Encoder(load(model))
+    return store["encoder", model]
 
 
 def decoder(model: bytes) -> Decoder:
-    if model not in _decoders:
-        _decoders[model] = Decoder(load(model))
-    return _decoders[model]
+    store = keeping("sentencepiece")
+    if ("decoder", model) not in store:
+        store["decoder", model] = Decoder(load(model))
+    return store["decoder", model]
 
 
 def _model(spark: SparkSession, path: str):
@@ -297,7 +295,7 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, *, id_col: str
         one = encoder(model.value)
         return lambda doc_ids, texts: {"doc_id": doc_ids, "ids": [one.ids(t) for t in texts]}
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, ids array<int>")
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, ids array<int>", "sentencepiece")
 
 
 def decode(spark: SparkSession, encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -309,7 +307,7 @@ def decode(spark: SparkSession, encoded: DataFrame, model_path: str, *, id_col:
         one = decoder(model.value)
         return lambda doc_ids, ids: {"doc_id": doc_ids, "text": [None if x is None else one.text(x) for x in ids]}
 
-    return arrow_map(encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")), make, f"doc_id {kind}, text string")
+    return arrow_map(encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")), make, f"doc_id {kind}, text string", "sentencepiece")
 
 
 def round_trips(spark: SparkSession, docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,4 +335,4 @@ def round_trips(spark: SparkSession, docs: DataFrame, model_path: str, *, id_col
 
         return work
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean", "sentencepiece")

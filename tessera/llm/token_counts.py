@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, text_or_empty
+from tessera.llm.common import arrow_map, keeping, text_or_empty
 from tessera.llm.pieces import BPE, Memo, Pieces, load
 
 
@@ -54,16 +54,14 @@ def count_segment(segment: str, pieces: Pieces) -> int:
     return count
 
 
-_counters: dict[bytes, Memo] = {}
-
-
 def counter(model: bytes) -> Memo:
-    if model not in _counters:
+    store = keeping("token counts")
+    if model not in store:
         pieces = load(model)
         if pieces.kind != BPE:
             raise ValueError("merging needs a byte-pair model")
-        _counters[model] = Memo(pieces, lambda s: count_segment(s, pieces), 800_000)
-    return _counters[model]
+        store[model] = Memo(pieces, lambda s: count_segment(s, pieces), 800_000)
+    return store[model]
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
@@ -87,4 +85,4 @@ def token_counts(spark: SparkSession, docs: DataFrame, model_path: str, *, id_co
 
         return work
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", "token counts")
