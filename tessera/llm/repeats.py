@@ -8,8 +8,8 @@ id. What is left are segments whose anchors agree while their texts differ: the
 passages. Their bytes are gathered into shards, and each shard's suffix array and permuted common
 prefixes show which strings it holds more than once.
 
-Within a batch of documents, segments that are equal are settled at once and sent as one, so a passage
-that a third of all documents share is one record a batch.
+Within a batch of documents, segments that are equal are settled at once and only those of the least
+document are sent, so a passage that a third of all documents share is one document's records a batch.
 """
 
 from __future__ import annotations
@@ -182,7 +182,7 @@ def _sketch(length: int, buckets: int):
         doc, start, stop = _runs(s["doc"][gone], s["start"][gone], s["stop"][gone])
         none = pa.nulls(len(doc), pa.binary())
         yield _rows(pa.array(doc % buckets, pa.int32()), none, doc, start, stop)
-        keep = fresh
+        keep = ~gone  # all occurrences in the least document: a document of another batch may hold the segment too
         s = {k: v[keep] for k, v in s.items()}
         s["size"] = s["stop"] - s["start"]
         bucket = (s["anchor"] % np.uint64(buckets)).astype(np.int64)
@@ -204,11 +204,12 @@ def _rows(bucket: pa.Array, records: pa.Array, doc: np.ndarray, start: np.ndarra
     return pa.RecordBatch.from_arrays([bucket, records, pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], schema=ROW)
 
 
-FOUND = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("anchor", pa.int64()), ("crowd", pa.int64())])
+FOUND = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("anchor", pa.int64()), ("crowd", pa.int64()), ("places", pa.list_(pa.int64()))])
 
 
 def _settle(length: int):
-    """Rows of a bucket, sorted by bucket, to intervals (null anchor) and segments that need their bytes."""
+    """Rows of a bucket, sorted by bucket, to intervals (null anchor) and segments that need their bytes, each
+    once with all the places where its document has it."""
     return lambda batches: _settle_batches(batches, length)
 
 
@@ -221,7 +222,7 @@ def _settle_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[
         if plain.any():
             rows = batch.filter(pa.array(plain))
             gap = pa.nulls(rows.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), rows.column(4), gap, gap], schema=FOUND)
+            yield pa.RecordBatch.from_arrays([rows.column(2), rows.column(3), rows.column(4), gap, gap, pa.nulls(len(gap), FOUND.field("places").type)], schema=FOUND)
         for k in np.flatnonzero(~plain).tolist():
             if bucket[k] != now:
                 yield from _settled(fields, length)
@@ -250,7 +251,7 @@ def _settled(fields: dict[str, list[np.ndarray]], length: int) -> Iterator[pa.Re
     gone = s["doc"] > least
     doc, a, b = _runs(s["doc"][gone], start[gone], stop[gone])
     gap = pa.nulls(len(doc), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a), pa.array(b), gap, gap], schema=FOUND)
+    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(a), pa.array(b), gap, gap, pa.nulls(len(gap), FOUND.field("places").type)], schema=FOUND)
     number = np.cumsum(group)[fresh] - 1
     agrees = {}
     for side in ("left", "right"):
@@ -263,32 +264,40 @@ def _settled(fields: dict[str, list[np.ndarray]], length: int) -> Iterator[pa.Re
     # A string reaches at least ``reach`` bytes beyond its anchor on the right, or more than that on the left.
     # It can only occur again where that flank does, so strings whose flank doesn't are cut off here.
     reach = (length - GRAM) // 2
-    anchor = (start + s["before"])[fresh]
-    first, last = start[fresh], stop[fresh]
-    first = np.where(agrees["left"], first, np.maximum(first, anchor + GRAM + reach - length))
-    last = np.where(agrees["right"], last, np.minimum(last, anchor + GRAM + reach - 1))
-    need = (agrees["left"] | agrees["right"]) & (last - first >= length)
-    crowd = np.bincount(number[need], minlength=int(number[-1]) + 1)[number]
-    at = np.flatnonzero(fresh)[need]
-    yield pa.RecordBatch.from_arrays([pa.array(s["doc"][at]), pa.array(first[need]), pa.array(last[need]), pa.array(s["anchor"][at].view(np.int64)), pa.array(crowd[need])], schema=FOUND)
+    # All occurrences in the least document go on, with what its segment's text agrees on: a flank that
+    # counts lies within the segment, so it is the same for each of them.
+    equal = (np.cumsum(fresh) - 1)[~gone]
+    number, left, right = number[equal], agrees["left"][equal], agrees["right"][equal]
+    anchor = (start + s["before"])[~gone]
+    first, last = start[~gone], stop[~gone]
+    first = np.where(left, first, np.maximum(first, anchor + GRAM + reach - length))
+    last = np.where(right, last, np.minimum(last, anchor + GRAM + reach - 1))
+    need = (left | right) & (last - first >= length)
+    lead = np.flatnonzero(np.diff(equal[need], prepend=-1))
+    places = pa.ListArray.from_arrays(pa.array(np.concatenate((lead, [int(need.sum())])), pa.int32()), pa.array(first[need]))
+    first, last, number = first[need][lead], last[need][lead], number[need][lead]
+    crowd = np.unique(number, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(~gone)[need][lead]
+    yield pa.RecordBatch.from_arrays([pa.array(s["doc"][at]), pa.array(first), pa.array(last), pa.array(s["anchor"][at].view(np.int64)), pa.array(crowd[2][crowd[1]]), places], schema=FOUND)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, [(start, stop, anchor, crowd)], doc) to rows with the segments' bytes."""
+    """(text, [(start, stop, anchor, crowd, places)], doc) to rows with the segments' bytes."""
     for batch in batches:
         out: list[tuple] = []
         for text, wanted, doc in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
             data = memoryview(text.as_buffer())
-            out += [(x["anchor"], x["crowd"], doc.as_py(), x["start"], bytes(data[x["start"] : x["stop"]])) for x in wanted.as_py()]
+            out += [(x["anchor"], x["crowd"], doc.as_py(), x["places"], bytes(data[x["start"] : x["stop"]])) for x in wanted.as_py()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CUT.types, strict=True)], schema=CUT)
 
 
-CUT = pa.schema([("anchor", pa.int64()), ("crowd", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("data", pa.binary())])
+CUT = pa.schema([("anchor", pa.int64()), ("crowd", pa.int64()), ("doc", pa.int64()), ("places", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
-def _repeated(parts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of the strings that another part with a smaller id holds too, by the shard's suffix array."""
+def _repeated(parts: list[bytes], docs: np.ndarray, places: list[list[int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals, at each of a part's places, of the strings that another part with a smaller id holds too, by
+    the shard's suffix array."""
     sizes = np.array([len(p) for p in parts])
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
     begins = np.cumsum(sizes + 1) - sizes - 1
@@ -303,37 +312,40 @@ def _repeated(parts: list[bytes], docs: np.ndarray, starts: np.ndarray, length:
     position = np.flatnonzero(enough[array])
     low = np.minimum.reduceat(common[array], np.concatenate(([0], position[:-1] + 1))) if len(position) else np.empty(0)
     if not len(usable):
-        return docs[:0], starts[:0], starts[:0]
+        return docs[:0], docs[:0], docs[:0]
     fresh = np.concatenate(([True], low[1:] < length))
     owner = docs[part[usable]]
     least = np.minimum.reduceat(owner, np.flatnonzero(fresh))
     gone = usable[owner > least[np.cumsum(fresh) - 1]]
-    offset = starts[part[gone]] + gone - begins[part[gone]]
-    return _runs(docs[part[gone]], offset, offset + length)
+    offset = gone - begins[part[gone]]
+    owner, a, b = _runs(part[gone], offset, offset + length)
+    many = np.array([len(x) for x in places])[owner]
+    base = np.array([x for k in owner.tolist() for x in places[k]], np.int64)
+    return _runs(np.repeat(docs[owner], many), base + np.repeat(a, many), base + np.repeat(b, many))
 
 
 def _shard(length: int, most: int):
-    """Rows (anchor, doc, start, data) of one shard after another, ``most`` bytes at a time at an anchor's end."""
+    """Rows (anchor, doc, places, data) of one shard after another, ``most`` bytes at a time at an anchor's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
         docs: list[int] = []
-        starts: list[int] = []
+        places: list[list[int]] = []
         size, now = 0, None
 
         def close() -> pa.RecordBatch:
-            doc, a, b = _repeated(parts, np.array(docs), np.array(starts), length)
+            doc, a, b = _repeated(parts, np.array(docs), places, length)
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc", "start", "stop"])
 
         for batch in batches:
-            for anchor, doc, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, doc, place, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if anchor != now and size >= most:
                     yield close()
-                    parts, docs, starts, size = [], [], [], 0
+                    parts, docs, places, size = [], [], [], 0
                 now = anchor
                 parts.append(data)
                 docs.append(doc)
-                starts.append(start)
+                places.append(place)
                 size += len(data)
         if parts:
             yield close()
@@ -401,17 +413,17 @@ def remove_repeats(
     buckets = bucket_count(spark, docs)
     row = "bucket int, records binary, doc bigint, start bigint, stop bigint"
     found = texts.mapInArrow(_sketch(length, buckets), row).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    found = scratch.table(found.mapInArrow(_settle(length), "doc bigint, start bigint, stop bigint, anchor bigint, crowd bigint"))
+    found = scratch.table(found.mapInArrow(_settle(length), "doc bigint, start bigint, stop bigint, anchor bigint, crowd bigint, places array<bigint>"))
     spark._jvm.System.gc()  # lets the engine drop the shuffle files that the table has replaced
-    wanted = found.filter("anchor IS NOT NULL").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop", "anchor", "crowd")).alias("wanted"))
-    cut = scratch.table(texts.join(wanted, "doc_id").select("data", "wanted", "doc_id").mapInArrow(_cut, "anchor bigint, crowd bigint, doc bigint, start bigint, data binary"))
+    wanted = found.filter("anchor IS NOT NULL").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop", "anchor", "crowd", "places")).alias("wanted"))
+    cut = scratch.table(texts.join(wanted, "doc_id").select("data", "wanted", "doc_id").mapInArrow(_cut, "anchor bigint, crowd bigint, doc bigint, places array<bigint>, data binary"))
     spark._jvm.System.gc()
-    shards = cut.filter(F.col("crowd") <= crowded).select("anchor", "doc", "start", "data").repartition(buckets, "anchor").sortWithinPartitions("anchor")
+    shards = cut.filter(F.col("crowd") <= crowded).select("anchor", "doc", "places", "data").repartition(buckets, "anchor").sortWithinPartitions("anchor")
     ends = shards.mapInArrow(_shard(length, shard_bytes), "doc bigint, start bigint, stop bigint")
-    strings = cut.filter(F.col("crowd") > crowded).select("doc", "start", F.explode(F.sequence(F.lit(0), F.length("data") - length)).alias("at"), "data")
-    strings = strings.select("doc", (F.col("start") + F.col("at")).alias("start"), F.md5(F.substring("data", F.col("at") + 1, F.lit(length))).alias("string"))
+    strings = cut.filter(F.col("crowd") > crowded).select("doc", "places", F.explode(F.sequence(F.lit(0), F.length("data") - length)).alias("at"), "data")
+    strings = strings.select("doc", "places", "at", F.md5(F.substring("data", F.col("at") + 1, F.lit(length))).alias("string"))
     least = strings.groupBy("string").agg(F.min("doc").alias("least"))
-    crowds = strings.join(least, "string").filter("doc > least").select("doc", "start", (F.col("start") + length).alias("stop"))
+    crowds = strings.join(least, "string").filter("doc > least").select("doc", F.explode(F.transform("places", lambda x: x + F.col("at"))).alias("start")).select("doc", "start", (F.col("start") + length).alias("stop"))
     gone = found.filter("anchor IS NULL").select("doc", "start", "stop").union(ends).union(crowds)
     gone = gone.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     joined = texts.join(gone, "doc_id", "left").select("doc_id", "data", "gone")

@@ -258,6 +258,23 @@ def test_repeats_are_brute_force(spark, monkeypatch, options):
     assert repeats.remove_repeats(spark, empty(spark), **options).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"crowded": 1}])
+def test_passages_that_a_document_repeats(spark, options):
+    lines = [prose(14, 60 + k) for k in range(6)]
+    cut = [x[a:b] for x in lines for a, b in ((0, 70), (9, 200), (20, 78))]
+    r = random.Random(3)
+    texts = {0: lines[0], 1: " ".join((prose(5, 70), lines[0], prose(5, 71), lines[0], prose(5, 72), lines[0]))}  # equal as a whole
+    texts |= {2: prose(9, 73) + lines[1][5:75] + prose(9, 74), 3: (prose(3, 75) + lines[1][:70] + prose(3, 76)) * 3}  # shared ends, in one batch
+    texts |= {k: "\n".join(x for _ in range(4) for x in [r.choice(cut)] * r.randint(1, 3)) for k in range(4, 40)}
+    for batches in ([texts], [{d: t for d, t in texts.items() if d % 3 == k} for k in range(3)]):
+        df = None
+        for batch in batches:
+            one = spark.createDataFrame(list(batch.items()), "doc_id bigint, text string").coalesce(1)
+            df = one if df is None else df.union(one)
+        got = sorted(tuple(r)[:5] for r in repeats.remove_repeats(spark, df, **options).collect())
+        assert got == brute_repeats(texts, 50)
+
+
 def test_long_texts_in_slices():
     text = prose(400, 8).encode()
     whole = repeats.segments(text, np.array([0]), np.array([len(text)]), 50)
