@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-The n-grams of the test items are the seeds; those that occur in the corpus are counted over all
-documents, and in each stretch of an item the rarest of them become its seeds. A document that holds a
-seed of an item is aligned with the item word by word around the seeds, so a copy with changed, dropped
-or added words still scores.
+All n-grams of the test items are the seeds. A document that holds a seed of an item is aligned with the
+item word by word around the seeds, so a copy with changed, dropped or added words still scores. Common
+n-grams are seeds too: an edited copy may share no others. Where a passage has too few of an item's words
+to reach the score, the alignment is left out.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, arrow_map, text_or_empty
+from tessera.llm.common import arrow_map, text_or_empty
 
 _word = re.compile(r"\w+")
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
@@ -52,15 +52,10 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
     return best, start, stop
 
 
-def rarest(grams: list, counts: dict, stretch: int) -> set[int]:
-    """Places of the seeds: in each window of ``stretch`` n-grams the one that the corpus has least often
-    (the first of equals). A window may only hold n-grams that the corpus lacks; it has no seed then."""
-    out = set()
-    for at in range(max(1, len(grams) - stretch + 1)):
-        there = [(counts[g], k) for k, g in enumerate(grams[at : at + stretch], at) if g in counts]
-        if there:
-            out.add(min(there)[1])
-    return out
+def most_matches(words: np.ndarray, counts: np.ndarray, passage: np.ndarray) -> int:
+    """At most so many words of an item can match in a passage; an item's distinct words are sorted."""
+    at = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+    return int(np.minimum(np.bincount(at[words[at] == passage], minlength=len(words)), counts).sum())
 
 
 def decontaminate(
@@ -73,7 +68,6 @@ def decontaminate(
     item_col: str = "item_id",
     item_text_col: str = "text",
     gram: int = 4,
-    stretch: int = 6,
     least_score: float = 0.5,
     least_words: int = 8,
     block_words: int = 500_000,
@@ -91,9 +85,9 @@ def decontaminate(
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = benchmark.select(F.col(item_col).alias("item"), text_or_empty(item_text_col).alias("text")).toLocalIterator(prefetchPartitions=False)
-    scratch, found = Scratch(spark), None
+    found = None
     for block in _streamed(rows, least_words, block_words):
-        one = _block(spark, scratch, texts, block, kind, item_kind, gram, stretch, least_score)
+        one = _block(spark, texts, block, kind, item_kind, gram, least_score)
         found = one if found is None else found.union(one)
     if found is None:
         return spark.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, score double, first_word bigint, last_word bigint, n_seeds bigint")
@@ -117,38 +111,19 @@ def _streamed(rows, least_words: int, most: int):
         yield block
 
 
-def _block(spark, scratch, texts, block, kind, item_kind, gram, stretch, least_score) -> DataFrame:
+def _block(spark, texts, block, kind, item_kind, gram, least_score) -> DataFrame:
     shared = spark.sparkContext.broadcast(block)
 
-    def count():
-        wanted = {g for _, w in shared.value for g in zip(*(w[k:] for k in range(gram)), strict=False)}
-        number = {g: n for n, g in enumerate(sorted(wanted))}
-
-        def work(texts):
-            seen: dict[int, int] = defaultdict(int)
-            for t in texts:
-                words = words_of(t)
-                for g in wanted.intersection(zip(*(words[k:] for k in range(gram)), strict=False)):
-                    seen[number[g]] += 1
-            return {"gram": list(seen), "n": list(seen.values())}
-
-        return work
-
-    counted = arrow_map(texts.select("text"), count, "gram int, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    counts = spark.sparkContext.broadcast({r.gram: r.n for r in counted.toLocalIterator()})  # at most one for each word of the block
-
     def align():
-        wanted = sorted({g for _, w in shared.value for g in zip(*(w[k:] for k in range(gram)), strict=False)})
-        known = {g: counts.value[n] for n, g in enumerate(wanted) if n in counts.value}
         seeds: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         number: dict[str, int] = {}
         coded = []
         for k, (_, words) in enumerate(shared.value):
-            grams = list(zip(*(words[j:] for j in range(gram)), strict=False))
-            for at in rarest(grams, known, stretch):
-                seeds[grams[at]].append((k, at))
+            for at, g in enumerate(zip(*(words[j:] for j in range(gram)), strict=False)):
+                seeds[g].append((k, at))
             coded.append(np.array([number.setdefault(w, len(number)) for w in words]))
         keys = set(seeds)
+        sought = [np.unique(c, return_counts=True) for c in coded]
         memo: dict[tuple, tuple] = {}
 
         def work(ids, texts):
@@ -174,6 +149,8 @@ def _block(spark, scratch, texts, block, kind, item_kind, gram, stretch, least_s
                             high = starts[at]
                             at += 1
                         low, high = max(0, low - slack), min(len(words), high + len(item) + slack)
+                        if most_matches(*sought[k], passage[low:high]) < least_score * len(item):
+                            continue
                         key = (k, passage[low:high].tobytes())
                         if key not in memo:
                             if len(memo) > 20_000:

@@ -332,6 +332,23 @@ def test_decontaminate_finds_edited_copies(spark, block_words):
     assert dec.decontaminate(spark, d, b.limit(0)).count() == 0 and dec.decontaminate(spark, empty(spark), b).count() == 0
 
 
+def test_decontaminate_finds_edited_copies_beside_exact_ones(spark):
+    items = {i: prose(38, 200 + i) for i in range(30)}
+    r, docs, want = random.Random(7), {}, set()
+    for i, text in items.items():
+        words = text.split()
+        for at in range(5 + i % 3, len(words), 6):  # five words in a row stay
+            words[at] = f"changed{r.randint(0, 99)}"
+        docs[i], docs[100 + i] = text, prose(40, 300 + i) + " " + " ".join(words) + " " + prose(40, 400 + i)
+        number = {w: n for n, w in enumerate({*dec.words_of(text), *dec.words_of(docs[100 + i])})}
+        a, b = ([number[w] for w in dec.words_of(x)] for x in (text, docs[100 + i]))
+        want |= {(i, i)} | ({(100 + i, i)} if brute_alignment(a, b) >= len(a) else set())
+    assert len(want) > 50
+    d = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    assert {(x.doc_id, x.item_id) for x in dec.decontaminate(spark, d, b).collect()} >= want
+
+
 # --- toxicity
 
 
