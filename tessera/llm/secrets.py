@@ -1,8 +1,8 @@
 """Secret scan with multipart credential linking, in DataFrame functions only.
 
 Regular expressions find three base kinds of secrets and three kinds of weak parts: identifiers,
-secret-like tokens and endpoints. Parts are dealt into cells of a scope's width and joined with the
-parts of this and the next cells that lie within the scope; a weak part is reported only when a
+secret-like tokens and endpoints. Parts are dealt into all cells of a scope's width that they touch and
+joined with the parts of these and the next cells that lie within the scope; a weak part is reported only when a
 complementary part is there: identifiers and endpoints need a secret, secrets need an identifier.
 """
 
@@ -78,7 +78,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     parts = found.filter(" OR ".join(f"size({k}) > 0" for k in names[BASE:])).select("doc_id", "mark", F.explode(F.concat(base, *(clear(k) for k in names[BASE:]))).alias("s"))
     roles = F.array(*(F.lit(r) for _, _, r in KINDS))
     parts = parts.select("doc_id", "mark", "s.start", "s.stop", "s.kind", F.get(roles, F.col("s.kind")).alias("role")).distinct()
-    weak = parts.filter(F.col("kind") >= BASE).withColumn("cell", F.floor(F.col("start") / scope))
+    own = F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("stop") - 1) / scope))
+    weak = parts.filter(F.col("kind") >= BASE).withColumn("cell", F.explode(own))
     wide = F.sequence(F.floor(F.col("start") / scope) - 1, F.floor((F.col("stop") - 1) / scope) + 1)
     other = parts.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("start").alias("b"), F.col("stop").alias("e"), F.col("role").alias("r"), F.explode(wide).alias("c"))
     fits = F.when(weak.role == "secret", other.r == "id").otherwise(other.r == "secret")

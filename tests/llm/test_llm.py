@@ -422,6 +422,19 @@ def test_secrets(spark):
     assert secrets.secret_scan(spark, empty(spark)).count() == 0
 
 
+def test_secrets_link_across_cells(spark):
+    texts, want = {}, {}
+    for weak in ("user=alice1234", "https://host.example/" + "path/" * 120):
+        for gap in (150, 188, 199, 200):
+            for offset in range(0, 400, 9):
+                k = len(texts)
+                texts[k] = " " * offset + weak + " " * gap + "password=hunterhunterhunter"
+                texts[k + 1] = " " * offset + "password=hunterhunterhunter" + " " * gap + weak
+                want[k] = want[k + 1] = int(gap < 200)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    assert {r.doc_id: r.n_linked for r in secrets.secret_scan(spark, df).collect()} == want
+
+
 def test_repeated_and_null_ids_in_secrets(spark):
     df = spark.createDataFrame([(None, SECRET_TEXTS[9]), (None, SECRET_TEXTS[9]), (1, SECRET_TEXTS[3]), (1, SECRET_TEXTS[9])], "doc_id bigint, text string")
     got = [r.n_linked for r in secrets.secret_scan(spark, df).orderBy("doc_id", "n_linked").collect()]
