@@ -13,35 +13,32 @@ from pyspark.sql import functions as F
 from tessera.llm.secrets import either_case
 
 DATE = "2024-01-01T00:00:00Z"
-_SILENT = tuple(f"<{either_case(t)}[^>]*>(?s:.*?)</{either_case(t)}[^>]*>" for t in ("script", "style", "noscript", "template"))
+_SILENT = "|".join(f"{either_case(t)}[^>]*>.*?</{either_case(t)}[^>]*>" for t in ("script", "style", "noscript", "template"))
 _BLOCK = "</?(" + "|".join(map(either_case, "address article aside blockquote body br dd div dl dt fieldset figure footer form head header hr html li main nav ol p pre section table td th title tr ul".split())) + r"|[Hh][1-6])([ /\n\t][^>]*)?>"
-#: (pattern, replacement), applied in this order.
-STEPS = (
-    ("(?s:<!--.*?-->)", ""),
-    *((p, "") for p in _SILENT),
-    (_BLOCK, "\n"),
-    ("<[^>]*>", ""),
-    ("&nbsp;|&#160;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;|&#34;", '"'),
-    ("&#39;|&apos;", "'"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-    (r"[ \t\r\f\x0B]+", " "),
-    (r" ?\n[ \n]*", "\n"),
-    (r"\A[ \n]+", ""),
-    (r"[ \n]+\z", ""),
-)
+#: (pattern, replacement), applied in this order: what isn't shown, breaks, other tags.
+TAGS = ((f"<(?s:!--.*?-->|{_SILENT})", ""), (_BLOCK, "\n"), ("<[^>]*>", ""))
+# Character references and what they stand for; the ampersand's own comes last.
+REFERENCES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Runs of white space that aren't one space, then breaks with white space around them.
+SPACES = ((r"[ \t\r\f\x0B]{2,}|[\t\r\f\x0B]", " "), (r" \n[ \n]*|\n[ \n]+", "\n"))
 TITLE = f"(?s:<{either_case('title')}[^>]*>(.*?)</{either_case('title')})"
-LINK = f'{either_case("href")}="([^"]*)"'
+LINK = rf"""[ \t\r\n"'/]{either_case("href")}[ \t\r\n]*=[ \t\r\n]*("[^"]*"|'[^']*'|[^ \t\r\n"'>]+)"""
 
 
 def page_text(html: Column) -> Column:
-    for pattern, put in STEPS:
+    for pattern, put in TAGS:
         html = F.regexp_replace(html, pattern, put)
-    return html
+    plain = html
+    for name, put in REFERENCES:
+        plain = F.replace(plain, F.lit(name), F.lit(put))
+    for pattern, put in SPACES:
+        plain = F.regexp_replace(plain, pattern, put)
+    return F.btrim(plain, F.lit(" \n"))
+
+
+def unquoted(link: Column) -> Column:
+    quoted = link.startswith('"') | link.startswith("'")
+    return F.when(quoted, link.substr(F.lit(2), F.length(link) - 2)).otherwise(link)
 
 
 def urn(*parts: Column) -> Column:
@@ -67,7 +64,7 @@ def derivatives(spark: SparkSession, responses: DataFrame) -> DataFrame:
     r = responses.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names))
     r = r.withColumn("source_digest", digest(F.col("body")))
     title = F.regexp_replace(F.regexp_extract("body", TITLE, 1), r"[ \t\r\n]+", " ")
-    links = F.array_join(F.transform(F.regexp_extract_all("body", F.lit(LINK), F.lit(1)), lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(u, r"[\r\n]+", ""), F.lit("\r\n"))), "")
+    links = F.array_join(F.transform(F.regexp_extract_all("body", F.lit(LINK), F.lit(1)), lambda u: F.concat(F.lit("outlink: "), F.regexp_replace(unquoted(u), r"[\r\n]+", ""), F.lit("\r\n"))), "")
     about = F.concat(F.lit("source-digest: "), "source_digest", F.lit("\r\n"), F.regexp_replace("http_headers", r"(?m)^(?=[^\r\n])", "source-header-"), F.lit("title: "), title, F.lit("\r\n"), links)
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), about.alias("block")),
@@ -111,16 +108,22 @@ def derivatives_sql() -> str:
     """Digests of the derivatives of ``pages`` as DuckDB SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     crlf = "chr(13) || chr(10)"
+    put = lambda x: q(x) if x != chr(10) else "chr(10)"
     text = "body"
-    for pattern, put in STEPS:
-        text = f"regexp_replace({text}, {q(pattern)}, {q(put) if put != chr(10) else 'chr(10)'}, 'g')"
+    for pattern, by in TAGS:
+        text = f"regexp_replace({text}, {q(pattern)}, {put(by)}, 'g')"
+    for name, by in REFERENCES:
+        text = f"replace({text}, {q(name)}, {q(by)})"
+    for pattern, by in SPACES:
+        text = f"regexp_replace({text}, {q(pattern)}, {put(by)}, 'g')"
+    text = f"trim({text}, ' ' || chr(10))"
 
     def urn_sql(*parts: str) -> str:
         h = f"md5(concat_ws('|', {', '.join(parts)}))"
         return "'urn:uuid:' || " + " || '-' || ".join(f"substring({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
 
     title = f"regexp_replace(regexp_extract(body, {q(TITLE)}, 1), '[ \\t\\r\\n]+', ' ', 'g')"
-    links = f"coalesce(list_aggregate(list_transform(regexp_extract_all(body, {q(LINK)}, 1), lambda u: 'outlink: ' || regexp_replace(u, '[\\r\\n]+', '', 'g') || {crlf}), 'string_agg', ''), '')"
+    links = f"coalesce(list_aggregate(list_transform(regexp_extract_all(body, {q(LINK)}, 1), lambda u: 'outlink: ' || regexp_replace(CASE WHEN u[1] IN (chr(34), chr(39)) THEN substring(u, 2, length(u) - 2) ELSE u END, '[\\r\\n]+', '', 'g') || {crlf}), 'string_agg', ''), '')"
     about = f"'source-digest: ' || source_digest || {crlf} || 'source-header-Content-Type: text/html; charset=utf-8' || {crlf} || 'title: ' || {title} || {crlf} || {links}"
     heads = f"""'WARC/1.1' || {crlf} || 'WARC-Type: ' || warc_type || {crlf} || 'WARC-Record-ID: <' || record_id || '>' || {crlf} || 'WARC-Refers-To: <' || refers_to || '>' || {crlf}
         || 'WARC-Target-URI: ' || target_uri || {crlf} || 'WARC-Date: {DATE}' || {crlf} || 'WARC-Block-Digest: ' || block_digest || {crlf} || 'WARC-Source-Digest: ' || source_digest || {crlf}
