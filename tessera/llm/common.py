@@ -16,14 +16,20 @@ from tessera.functions.shipping import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees (``spark.checkpoint.dir``); a temporary one only where unset."""
+    """The folder every executor sees: ``spark.checkpoint.dir``. Where it is unset, a temporary folder does on
+    one machine; a cluster's executors would each write to their own, so there the setting is asked for."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage, so that a lost executor costs no recomputation."""
 
@@ -36,7 +42,12 @@ class Scratch:
         """Write ``df`` and return it reread, with its path."""
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES)
+        self.spark.conf.set(FREE_SHUFFLES, "true")  # the table replaces its shuffle files
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(FREE_SHUFFLES, before)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def table(self, df: DataFrame) -> DataFrame:
@@ -86,12 +97,44 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: st
             for start in range(0, batch.num_rows, rows):
                 work = work or make()
                 got = work(*(c.to_pylist() for c in batch.slice(start, rows).columns))
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
+                yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, _parse_datatype_string(schema))
 
 
-BATCH_BYTES = 8 << 20
+def arrow_filter(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], list[bool]]], operator: str | None = None) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose text ``make()`` accepts; nulls count as empty texts.
+    Rows stay where they are. The text is passed beside the row, so no column name can clash."""
+    ship(df.sparkSession)
+    name = unique_name(df, "accepted text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(operator)
+        work = None
+        for batch in batches:
+            rows = max(1, int(batch.num_rows * min(1.0, BATCH_BYTES / max(1, batch.nbytes))))
+            for start in range(0, batch.num_rows, rows):
+                work = work or make()
+                part = batch.slice(start, rows)
+                keep = pa.array(work(part.column(part.num_columns - 1).to_pylist()), pa.bool_())
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1]).filter(keep)
+
+    return df.withColumn(name, text_or_empty(text_col)).mapInArrow(run, df.schema)
+
+
+BATCH_BYTES = 4 << 20
+
+
+def unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether no id is null and none repeats."""
+    n = df.agg(F.count("*"), F.count(F.col(id_col))).first()
+    return n[0] == n[1] and df.groupBy(id_col).agg(F.count("*").alias("times")).filter("times > 1").isEmpty()
+
+
+def numbered(scratch: Scratch, df: DataFrame, id_col: str, name: str, *, nulls_first: bool) -> DataFrame:
+    """``df`` with a number for each row, in a written table, rising with the id; null ids come first or last."""
+    order = F.col(id_col).asc_nulls_first() if nulls_first else F.col(id_col).asc_nulls_last()
+    return scratch.table(df.orderBy(order).withColumn(name, F.monotonically_increasing_id()))
 
 
 def unique_name(df: DataFrame | StructType, stem: str) -> str:

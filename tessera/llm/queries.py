@@ -86,7 +86,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    return remove_repeats(spark, table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
