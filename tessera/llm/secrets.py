@@ -8,6 +8,8 @@ complementary part is there: identifiers and endpoints need a secret, secrets ne
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,20 +39,53 @@ BASE = 3
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once a row: a lambda's variable is a value, not an expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums up to each element, in n log n steps: each round adds what stands 1, 2, 4, ... places before."""
+    rounds = F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int"))
+    add = lambda acc, k: let(F.pow(F.lit(2), k).cast("int"), lambda back: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - back), F.lit(0))))
+    return F.aggregate(rounds, numbers, add)
+
+
+#: What a text must hold to have a match at all, found faster than by the pattern.
+HINTS = {
+    0: lambda t: t.contains(":") | t.contains("="),
+    1: lambda t: t.contains("AKIA"),
+    3: lambda t: t.contains(":") | t.contains("="),
+    4: lambda t: t.rlike("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"),
+    5: lambda t: t.contains("://") | t.contains("@") | t.rlike(r"[0-9]\.[0-9]"),
+}
+
+
 def spans_of(text: Column, number: int, pattern: str) -> Column:
-    """Spans of all matches: the text between them gives where they start, in code points."""
+    """Spans of all matches: the text between them gives where they start, in code points. The matches and
+    the text between them are each found once."""
     regex = F.lit(pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    between = F.split(text, pattern, -1)
-    widths = F.transform(found, lambda m, i: F.struct((F.length(m) + F.length(F.get(between, i))).alias("w"), F.length(m).alias("m")))
-    spans = F.transform(widths, lambda w, i: F.struct((F.aggregate(F.slice(widths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x.w) - w.m).cast("int").alias("start"), F.lit(number).alias("kind"), F.aggregate(F.slice(widths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x.w).cast("int").alias("stop")))
-    if number == 0:  # a match whose value has under 12 characters is dropped, yet takes its place
-        values = F.regexp_extract_all(text, regex, F.lit(2))
-        spans = F.filter(F.transform(spans, lambda s, i: F.when(F.length(F.get(values, i)) >= 12, s)), lambda s: s.isNotNull())
-    if number == 4:
-        mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (m.rlike("[A-Z]") | m.rlike("[+/_-]") | (F.length(m) >= 32))
-        spans = F.filter(F.transform(spans, lambda s, i: F.when(mixed(F.get(found, i)), s)), lambda s: s.isNotNull())
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN)).cast(SPAN)
+
+    def spans(found: Column) -> Column:
+        def placed(widths: Column, stops: Column) -> Column:
+            span = lambda stop, i: F.struct((stop - F.get(widths, i)["m"]).alias("start"), F.lit(number).alias("kind"), stop.alias("stop"))
+            if number == 0:  # a match whose value has under 12 characters is dropped, yet takes its place
+                values = F.regexp_extract_all(text, regex, F.lit(2))
+                return let(values, lambda v: _some(F.transform(stops, lambda stop, i: F.when(F.length(F.get(v, i)) >= 12, span(stop, i)))))
+            if number == 4:
+                mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (m.rlike("[A-Z]") | m.rlike("[+/_-]") | (F.length(m) >= 32))
+                return _some(F.transform(stops, lambda stop, i: F.when(mixed(F.get(found, i)), span(stop, i))))
+            return F.transform(stops, span)
+
+        widths = let(F.split(text, pattern, -1), lambda between: F.transform(found, lambda m, i: F.struct((F.length(m) + F.length(F.get(between, i))).alias("w"), F.length(m).alias("m"))))
+        return let(widths, lambda w: let(running_sums(w["w"]), lambda stops: placed(w, stops)))
+
+    hint = HINTS.get(number, lambda t: F.lit(True))(text)
+    return F.when(hint & text.rlike(pattern), let(F.regexp_extract_all(text, regex, F.lit(0)), spans)).otherwise(F.array().cast(SPAN)).cast(SPAN)
+
+
+def _some(items: Column) -> Column:
+    return F.filter(items, lambda s: s.isNotNull())
 
 
 def listed(spans: Column) -> Column:
@@ -74,17 +109,20 @@ def secret_scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     found = scratch.table(scanned)
     names = [k for k, _, _ in KINDS]
     base = F.array_sort(F.concat(*names[:BASE]))
-    clear = lambda k: F.filter(k, lambda w: ~F.exists(base, lambda b: (b.start < w.stop) & (w.start < b.stop)))
-    parts = found.filter(" OR ".join(f"size({k}) > 0" for k in names[BASE:])).select("doc_id", "mark", F.explode(F.concat(base, *(clear(k) for k in names[BASE:]))).alias("s"))
     roles = F.array(*(F.lit(r) for _, _, r in KINDS))
-    parts = parts.select("doc_id", "mark", "s.start", "s.stop", "s.kind", F.get(roles, F.col("s.kind")).alias("role")).distinct()
-    own = F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("stop") - 1) / scope))
-    weak = parts.filter(F.col("kind") >= BASE).withColumn("cell", F.explode(own))
-    wide = F.sequence(F.floor(F.col("start") / scope) - 1, F.floor((F.col("stop") - 1) / scope) + 1)
-    other = parts.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("start").alias("b"), F.col("stop").alias("e"), F.col("role").alias("r"), F.explode(wide).alias("c"))
+    every = found.filter(" OR ".join(f"size({k}) > 0" for k in names[BASE:])).select("doc_id", "mark", F.explode(F.concat(*names)).alias("s"))
+    every = every.select("doc_id", "mark", "s.start", "s.stop", "s.kind", F.get(roles, F.col("s.kind")).alias("role")).distinct()
+    cells = lambda more: F.explode(F.sequence(F.floor(F.col("start") / scope) - more, F.floor((F.col("stop") - 1) / scope) + more))
+    aside = lambda rows, more: rows.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("start").alias("b"), F.col("stop").alias("e"), F.col("kind").alias("k"), F.col("role").alias("r"), cells(more).alias("c"))
+    weak, sure = every.filter(F.col("kind") >= BASE).withColumn("cell", cells(0)), aside(every.filter(F.col("kind") < BASE), 0)
+    met = lambda one, two: one.doc_id.eqNullSafe(two.d) & (one.mark == two.m) & (one.cell == two.c)
+    within = scratch.table(weak.join(sure, met(weak, sure) & (sure.b < weak.stop) & (weak.start < sure.e), "left_semi").select("doc_id", "mark", "start", "kind").distinct())
+    parts = every.join(within.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), F.col("start").alias("b"), F.col("kind").alias("k")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")) & (F.col("start") == F.col("b")) & (F.col("kind") == F.col("k")), "left_anti")
+    parts = scratch.table(parts)
+    weak, other = parts.filter(F.col("kind") >= BASE).withColumn("cell", cells(0)), aside(parts, 1)
     fits = F.when(weak.role == "secret", other.r == "id").otherwise(other.r == "secret")
     close = (other.b < weak.stop + scope) & (weak.start < other.e + scope)
-    linked = weak.join(other, weak.doc_id.eqNullSafe(other.d) & (weak.mark == other.m) & (weak.cell == other.c) & fits & close, "left_semi")
+    linked = weak.join(other, met(weak, other) & fits & close, "left_semi")
     linked = linked.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "kind", "stop")).alias("more"))
     linked = linked.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "more")
     out = found.select("doc_id", "mark", *(F.size(k).cast("long").alias(f"n_{k}") for k in names[:BASE]), base.alias("base"))
