@@ -79,9 +79,9 @@ def release(operator: str | None) -> None:
             store.clear()
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str, operator: str | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str, operator: str | None = None, *, arrays: bool = False) -> DataFrame:
     """``mapInArrow`` over lists: ``make()`` runs once a task and returns ``f(*columns) -> columns``.
-    ``operator`` names whose store stays in the worker.
+    ``operator`` names whose store stays in the worker; with ``arrays`` columns are passed as Arrow arrays.
 
     Batches are cut to about BATCH_BYTES of input, so that a run of very long texts needs no more
     memory than a run of short ones.
@@ -96,7 +96,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: st
             rows = max(1, int(batch.num_rows * min(1.0, BATCH_BYTES / max(1, batch.nbytes))))
             for start in range(0, batch.num_rows, rows):
                 work = work or make()
-                got = work(*(c.to_pylist() for c in batch.slice(start, rows).columns))
+                got = work(*(c if arrays else c.to_pylist() for c in batch.slice(start, rows).columns))
                 yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, _parse_datatype_string(schema))

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -41,7 +45,8 @@ class Pieces:
     """Piece strings, scores and types of one model.
 
     ``ranks`` maps the text of a piece that a pair may form to its rank; a lower rank goes first.
-    ``lone`` holds the ASCII characters that no longer piece contains: text is cut around them.
+    ``joins`` holds the pairs of neighbouring characters that some piece contains: no piece and no merge
+    spans any other pair, so text is cut there without a change to its ids.
     """
 
     def __init__(self, model: bytes):
@@ -71,13 +76,10 @@ class Pieces:
         self.chars = {t for t in self.ids if len(t) == 1}
         levels = {score: n for n, score in enumerate(sorted({-self.scores[i] for i in self.ids.values()}))}
         self.ranks = {t: levels[-self.scores[i]] for t, i in self.ids.items() if len(t) > 1}
-        within = set().union(*(t for t in self.ids if len(t) > 1))
-        self.lone = {chr(c) for c in range(128)} - within - {" "}
+        self.joins = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         # No piece has a space mark after another character: then a mark starts a segment of its own.
         self.cut_at_spaces = not any(SPACE in t.lstrip(SPACE) for t in self.ids)
-        lone = "".join(map(re.escape, sorted(self.lone)))
-        self.alone = re.compile(f"[{lone}]")
-        self.cut = re.compile(f"[{lone}]|{SPACE}+[^{SPACE}{lone}]*|[^{SPACE}{lone}]+" if self.cut_at_spaces else f"[{lone}]|[^{lone}]+")
+        self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if self.cut_at_spaces else "(?s:.+)")
 
     def fallback(self, char: str) -> list[int]:
         return [self.bytes[b] for b in char.encode()]
@@ -94,52 +96,117 @@ def load(model: bytes) -> Pieces:
 
 
 def segments(text: str, pieces: Pieces) -> list[str]:
-    """Cut ``text``, escaped as the model wants it, where no piece can span: before a space mark that
-    follows another character, and around characters that only stand alone."""
-    return pieces.cut.findall(text)
+    """Cut ``text``, escaped as the model wants it, between neighbours that no piece holds side by side.
+    Within runs of letters that would hardly ever be, so it isn't looked for."""
+    if text.isalpha() or text[0] == SPACE and text[1:].isalpha():
+        return [text]
+    joins = pieces.joins
+    cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joins]
+    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)] if cuts else [text]
 
 
-class Memo:
-    """Results of ``compute(segment)`` for the segments of texts, kept between texts.
+#: What a kept entry takes besides its characters: two objects and a slot.
+ENTRY_BYTES = 180
 
-    ``words(text)`` gives the results in order. A word after one space is looked up whole; one that was
-    not seen is cut into segments. A full memo is emptied, which costs time only.
-    """
 
-    def __init__(self, pieces: Pieces, compute, most: int = 500_000):
-        self.pieces, self.compute, self.most = pieces, compute, most
-        self.parts: dict = {}  # by segment as it stands
-        self.after_space: dict = {}  # by word without its mark
+class Kept(dict):
+    """Results by key. Over its bound it keeps only those that the last batch asked for."""
 
-    def keep(self, memo: dict, key: str, value):
-        if len(key) <= 64:
-            if len(memo) >= self.most:
-                memo.clear()
-            memo[key] = value
-        return value
+    def __init__(self, most_bytes: int):
+        super().__init__()
+        self.most, self.size = most_bytes, 0
 
-    def one(self, segment: str):
-        got = self.parts.get(segment)
-        return self.keep(self.parts, segment, self.compute(segment)) if got is None else got
+    def add(self, keys: list[str], values: list) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.size += sum(map(len, keys)) + sum(len(v) if type(v) is bytes else 0 for v in values) + ENTRY_BYTES * len(keys)
 
-    def words(self, text: str) -> list:
+    def trim(self, asked: Iterable[str]) -> None:
+        if self.size > self.most:
+            held = {k: self[k] for k in asked if len(k) <= 64}
+            self.clear()
+            self.size = 0
+            self.add(list(held), list(held.values()))
+
+
+class Memo:
+    """Results of texts from those of their words.
+
+    A batch is split into words and its distinct words are found by Arrow. New words are cut into segments;
+    those not seen before go to ``compute`` at once, sorted; ``join`` puts a word's results together. Words
+    and other segments are kept between batches in bounded memory. ``results`` gives the distinct results,
+    which of them each text has, one after another, and where each text's begin.
+    """
+
+    def __init__(self, pieces: Pieces, compute, join, most_bytes: int = 96 << 20):
+        self.pieces, self.compute, self.join = pieces, compute, join
+        self.words = Kept(most_bytes // 4 * 3)  # of SPACE + word, by word
+        self.parts = Kept(most_bytes // 4)  # of other segments, as they stand
+
+    def results(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
+        texts = texts.cast(pa.large_string())
+        pieces, plain = self.pieces, np.zeros(len(texts), bool)
+        if pieces.cut_at_spaces and pieces.dummy_prefix:  # else, and where spaces stand otherwise than singly, runs are found below
+            odd = [pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, "")]
+            plain = ~np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in odd])
+        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        values = self.of_words(names)
+        index = coded.indices.to_numpy()
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[plain] = np.diff(split.offsets.to_numpy())
+        if not plain.all():
+            runs = [self.runs(t) for t in texts.filter(pa.array(~plain)).to_pylist()]
+            sizes[~plain] = [len(x) for x in runs]
+            number: dict = {}
+            extra = np.array([number.setdefault(v, len(values) + len(number)) for x in runs for v in x], np.int64)
+            values = [*values, *number]
+            place = np.repeat(plain, sizes)
+            whole = np.empty(len(place), np.int64)
+            whole[place], whole[~place] = index, extra
+            index = whole
+        self.words.trim(names)
+        self.parts.trim(())
+        return values, index, np.concatenate(([0], np.cumsum(sizes)))
+
+    def of_words(self, words: list[str]) -> list:
+        """Results of ``SPACE + word`` for distinct words."""
+        kept, parts, pieces = self.words, self.parts, self.pieces
+        new = [w for w in words if w not in kept]
+        cut = {w: segments(SPACE + w, pieces) for w in new if not w.isalpha()}
+        first = {w for w in new if w.isalpha()}
+        first.update(h for x in cut.values() if x[0][0] == SPACE and (h := x[0][1:]) not in kept)
+        ordered = sorted(first)
+        kept.add(ordered, self.compute([SPACE + w for w in ordered]))
+        rest = sorted({s for x in cut.values() for s in x[1:]} - parts.keys())
+        parts.add(rest, self.compute(rest))
+        whole = [w for w, x in cut.items() if len(x) > 1]
+        kept.add(whole, [self.join((kept[cut[w][0][1:]], *map(parts.__getitem__, cut[w][1:]))) for w in whole])
+        return [kept[w] for w in words]
+
+    def runs(self, text: str) -> list:
+        """Results of a text's segments, however its spaces stand."""
         if not text:
             return []
-        pieces = self.pieces
-        if not (pieces.cut_at_spaces and pieces.dummy_prefix) or "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
-            marked = (SPACE if pieces.dummy_prefix else "") + text.replace(" ", SPACE)
-            return [self.one(s) for s in segments(marked, pieces)]
-        out = []
-        get, add, alone = self.after_space.get, out.append, pieces.alone.search
-        for word in text.split(" "):
-            got = get(word)
-            if got is not None:
-                add(got)
-            elif alone(word):
-                first, *rest = segments(SPACE + word, pieces)
-                head = get(first[1:])
-                add(self.keep(self.after_space, first[1:], self.compute(first)) if head is None else head)
-                out += [self.one(s) for s in rest]
-            else:
-                add(self.keep(self.after_space, word, self.compute(SPACE + word)))
+        found = [s for run in self.pieces.cut.findall((SPACE if self.pieces.dummy_prefix else "") + text.replace(" ", SPACE)) for s in segments(run, self.pieces)]
+        new = sorted(set(found) - self.parts.keys())
+        self.parts.add(new, self.compute(new))
+        out = [self.parts[s] for s in found]
+        self.parts.trim(found)
         return out
+
+
+def gathered(flat: np.ndarray, stops: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ``flat`` that ``index`` names (part k ends at ``stops[k]``) one after another, and their sizes."""
+    sizes = np.diff(stops, prepend=0)
+    wide = sizes[index]
+    ends = np.cumsum(wide)
+    total = int(ends[-1]) if len(ends) else 0
+    steps = np.ones(total, np.int64)
+    some = np.flatnonzero(wide)
+    begin = (stops - sizes)[index[some]]
+    at = (ends - wide)[some]
+    if len(some):
+        steps[at[0]] = begin[0]
+        steps[at[1:]] = begin[1:] - (begin[:-1] + wide[some][:-1]) + 1
+    return flat[np.cumsum(steps)], wide

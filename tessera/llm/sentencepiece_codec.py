@@ -18,11 +18,13 @@ from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, keeping, text_or_empty
-from tessera.llm.pieces import BPE, CONTROL, SPACE, UNKNOWN, Memo, Pieces, load
+from tessera.llm.pieces import BPE, CONTROL, SPACE, UNKNOWN, Memo, Pieces, gathered, load
 
 
 def splits_at(text: str, at: int, ranks: dict[str, int]) -> bool:
@@ -65,28 +67,40 @@ def last_merge(text: str, ranks: dict[str, int]) -> tuple[str, ...]:
 
 
 ONE = (1,)
+PAIRS = 200_000
 
 
 class Encoder:
-    """Ids of texts under one model; ``ids(text)`` is exact for the whole text."""
+    """Ids of texts under one model; ``ids(text)`` is exact for the whole text.
+
+    Besides the vocabulary an encoder keeps, between texts and in bounded number, ids of words (``memo``)
+    and whether pairs of pieces stay apart (``pairs``).
+    """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.admissible: dict[tuple[str, str], bool] = {}  # for pairs with runs of spaces; these are few
-        self.ends: dict[str, str] = {"": ""}  # by prefix of a segment: the piece that ends it, or empty
+        self.pairs: dict[int, bool] = {}
         # The last merge of each piece; pieces that their own text doesn't merge into are left out.
         self.halves: dict[str, tuple[str, ...]] = {c: (c, c) for c in pieces.chars}
         if pieces.kind == BPE:
             self.halves |= {t: parts for t in pieces.ranks if (parts := last_merge(t, pieces.ranks))}
-        tails: dict[str, set[int]] = {}
-        for t in pieces.ids:
-            if len(t) > 1:
-                tails.setdefault(t[-2:], {1}).add(len(t))
-        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
-        worst = min((s for s in pieces.scores), default=0.0)
-        self.unknown = worst - 10.0
-        short = 4 * pieces.longest if pieces.kind == BPE else 0
-        self.memo = Memo(pieces, lambda s: array("i", self.window(s) if len(s) <= short else self.stream(s)).tobytes(), 500_000)
+        self.whole = {t: pieces.ids[t] for t in self.halves}
+        # Lengths of the pieces that can end a text, by its last four, else two characters, longest first.
+        admitted = self.halves if pieces.kind == BPE else pieces.ids
+        self.tails: dict[str, tuple[int, ...]] = {}
+        for t in admitted:
+            for k in (2, 4):
+                if len(t) >= k and t[-k:] not in self.tails:
+                    self.tails[t[-k:]] = tuple(n for n in range(pieces.longest, 0, -1) if n == 1 or n <= k and t[-n:] in admitted)
+        for t in admitted:
+            if len(t) > 4:
+                self.tails[t[-4:]] += (len(t),)
+            elif len(t) == 3:
+                self.tails[t[-2:]] += (3,)
+        self.tails = {t: tuple(sorted({*n}, reverse=True)) for t, n in self.tails.items()}
+        self.unknown = min(pieces.scores, default=0.0) - 10.0
+        self.ends = self.merging()
+        self.memo = Memo(pieces, self.many, b"".join)
 
     def follows(self, last: str, piece: str) -> bool:
         """Whether two pieces stay two when their text is merged.
@@ -95,11 +109,7 @@ class Encoder:
         form a piece that would have merged before the merge just undone, the pieces can't stay apart.
         """
         if SPACE * 2 in piece or SPACE * 2 in last:  # equal ranks within runs of spaces: merge them out
-            key = (last, piece)
-            got = self.admissible.get(key)
-            if got is None:
-                got = self.admissible[key] = splits_at(last + piece, len(last), self.pieces.ranks)
-            return got
+            return splits_at(last + piece, len(last), self.pieces.ranks)
         ranks, halves = self.pieces.ranks.get, self.halves
         a, b = last, piece
         if ranks(a + b) is not None:
@@ -121,87 +131,84 @@ class Encoder:
             else:
                 return True
 
-    def window(self, text: str) -> list[int]:
-        """Ids of a segment that one window holds whole: the same search without commits.
+    def many(self, segments: list[str]) -> list[bytes]:
+        """Ids, as 32-bit integers, of sorted segments. What ends at a boundary depends on the text before it
+        alone, so each search goes on from the boundary at which a segment leaves the one before it."""
+        out, prior, state = [], "", ([-1], [0], [0.0])
+        for text in segments:
+            same, most = 0, min(len(prior), len(text), len(state[0]) - 1)
+            while same < most and prior[same] == text[same]:
+                same += 1
+            for x in state:
+                del x[same + 1 :]
+            out.append(array("i", self.stream(text, *state)).tobytes())
+            prior = text
+        return out
 
-        The piece that ends a prefix depends on that prefix alone, so segments share the boundaries of
-        their common prefixes: the search goes on from the longest prefix seen before.
-        """
-        tails, whole, ids, ranks, ends = self.tails.get, self.halves, self.pieces.ids, self.pieces.ranks.get, self.ends
-        size = done = len(text)
-        while text[:done] not in ends:
-            done -= 1
-        for i in range(done + 1, size + 1):
-            found = ""
-            for length in tails(text[i - 2 : i], ONE) if i > 1 else ONE:
-                if length > i:
-                    continue
-                piece = text[i - length : i]
-                if piece not in whole:
-                    continue
-                a = ends[text[: i - length]]
-                if a:
-                    if ranks(a + piece) is not None:
-                        continue
-                    if (len(a) > 1 or length > 1) and not self.follows(a, piece):
-                        continue
-                found = piece
-                break
-            ends[text[:i]] = found
-        out: list[int] = []
-        while size:
-            piece = ends[text[:size]]
-            if piece:
-                out.append(ids[piece])
-                size -= len(piece)
-            else:
-                out += self.pieces.fallback(text[size - 1])[::-1]
-                size -= 1
-        if len(ends) > 700_000:
-            ends.clear()
-            ends[""] = ""
-        return out[::-1]
+    def stream(self, text: str, last: list[int], back: list[int], sums: list[float]) -> Iterator[int]:
+        """The ids of a segment, already escaped, committed as soon as paths converge.
 
-    def stream(self, text: str) -> Iterator[int]:
-        """The ids of ``text``, already escaped, committed as paths converge."""
-        pieces = self.pieces
-        ids, longest, merging, tails, halves = pieces.ids, pieces.longest, pieces.kind == BPE, self.tails.get, self.halves
-        base = 0  # the boundary up to which ids are committed
-        back = [0]  # back[i - base]: where the piece that ends at i starts
-        last = [""]  # its text; empty for a character outside the vocabulary
-        best = [0.0]
-        size = len(text)
-        for i in range(1, size + 1):
-            start, piece, score = i - 1, "", 0.0
+        By boundary since the last commit: ``last`` has the id of the piece that ends there on the best path
+        (-1 for a character outside the vocabulary), ``back`` where that piece starts, ``sums`` the path's
+        score (unigram models). The lists may hold a beginning of the search, and are extended.
+        """
+        longest, texts, size, merging = self.pieces.longest, self.pieces.texts, len(text), self.pieces.kind == BPE
+        base = 0
+        for i in range(len(last), size + 1):
             if merging:
-                if text[start] in pieces.chars:
-                    for length in tails(text[i - 2 : i], ONE) if i > 1 else ONE:
-                        j = i - length
-                        if j < base:
-                            continue
-                        piece = text[j:i]
-                        if piece in halves and (not (before := last[j - base]) or self.follows(before, piece)):
-                            start = j
-                            break
-                    else:
-                        raise ValueError(f"no path ends at {text[max(0, i - longest):i]!r}")
+                got = self.ends(text, i, base, last)
             else:
-                score = best[start - base] + self.unknown
-                for j in range(max(base, i - longest), i):
-                    found = ids.get(text[j:i])
-                    if found is not None and (s := best[j - base] + pieces.scores[found]) > score:
-                        start, piece, score = j, text[j:i], s
-            back.append(start)
-            last.append(piece)
-            best.append(score)
+                got, score = self.best(text, i, base, sums)
+                sums.append(score)
+            last.append(got)
+            back.append(i - len(texts[got]) if got >= 0 else i - 1)
             if i - base >= 4 * longest and i % longest == 0:
                 meet = self.converged(back, base, i, longest)
                 if meet > base:
                     yield from self.path(text, back, last, base, meet)
                     k = meet - base
-                    back, last, best, base = back[k:], last[k:], best[k:], meet
+                    back, last, sums, base = back[k:], last[k:], sums[k:], meet
         yield from self.path(text, back, last, base, size)
 
+    def merging(self):
+        """A function that gives the one admissible piece that ends at a boundary in byte-pair merging; -1
+        outside the vocabulary."""
+        tails, whole, pairs, texts, chars = self.tails.get, self.whole.get, self.pairs, self.pieces.texts, self.pieces.chars
+        many, known, follows = len(texts), self.pairs.get, self.follows
+
+        def ends(text: str, i: int, base: int, last: list[int]) -> int:
+            for length in tails(text[i - 4 : i]) or tails(text[i - 2 : i], ONE) if i > 3 else tails(text[i - 2 : i] if i > 2 else text[:i], ONE):
+                j = i - length
+                piece = whole(text[j:i]) if j >= base else None
+                if piece is None:
+                    continue
+                before = last[j - base]
+                if before < 0:
+                    return piece
+                key = before * many + piece
+                apart = known(key)
+                if apart is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    apart = pairs[key] = follows(texts[before], texts[piece])
+                if apart:
+                    return piece
+            if text[i - 1] not in chars:
+                return -1
+            raise ValueError(f"no path ends at {text[max(0, i - 20):i]!r}")
+
+        return ends
+
+    def best(self, text: str, i: int, base: int, sums: list[float]) -> tuple[int, float]:
+        """The piece that ends at ``i`` on the path of the greatest score of a unigram model, and that score."""
+        tails, found, score, scores = self.tails.get, -1, sums[i - 1 - base] + self.unknown, self.pieces.scores
+        for length in tails(text[i - 4 : i]) or tails(text[i - 2 : i], ONE) if i > 3 else tails(text[i - 2 : i] if i > 2 else text[:i], ONE):
+            j = i - length
+            piece = self.pieces.ids.get(text[j:i]) if j >= base else None
+            if piece is not None and (s := sums[j - base] + scores[piece]) > score:
+                found, score = piece, s
+        return found, score
+
     @staticmethod
     def converged(back: list[int], base: int, i: int, longest: int) -> int:
         """The last boundary on the paths to all of the boundaries at which a later piece may start."""
@@ -212,20 +219,26 @@ class Encoder:
             alive.add(back[top - base] if top > base else base)
         return alive.pop()
 
-    def path(self, text: str, back: list[int], last: list[str], base: int, stop: int) -> list[int]:
+    def path(self, text: str, back: list[int], last: list[int], base: int, stop: int) -> list[int]:
         out: list[int] = []
         while stop > base:
-            start, piece = back[stop - base], last[stop - base]
-            out += [self.pieces.ids[piece]] if piece else self.pieces.fallback(text[start:stop])[::-1]
-            stop = start
+            piece = last[stop - base]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += self.pieces.fallback(text[stop - 1])[::-1]
+            stop = back[stop - base]
         return out[::-1]
 
-    def packed(self, text: str) -> bytes:
-        """Ids as 32-bit integers."""
-        return b"".join(self.memo.words(text))
+    def packed(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one text after another, and where each text's begin (and the last one's end)."""
+        values, index, starts = self.memo.results(texts)
+        stops = np.cumsum([len(v) // 4 for v in values], dtype=np.int64)
+        ids, sizes = gathered(np.frombuffer(b"".join(values), np.int32), stops, index)
+        return ids, np.concatenate(([0], np.cumsum(sizes)))[starts]
 
     def ids(self, text: str) -> list[int]:
-        return array("i", self.packed(text)).tolist()
+        return self.packed(pa.array([text]))[0].tolist()
 
 
 codecs.register_error("tessera-each", lambda e: ("�" * (e.end - e.start), e.end))
@@ -243,6 +256,25 @@ class Decoder:
         self.dummy_prefix = pieces.dummy_prefix
         self.marked = {i for i, t in enumerate(pieces.texts) if t.startswith(SPACE)}
         self.silent = {i for i, kind in enumerate(pieces.types) if kind == CONTROL}
+        each = [bytes([pieces.byte_values[i]]) if i in pieces.byte_values else t.encode() for i, t in enumerate(self.plain)]
+        self.flat, self.stops = np.frombuffer(b"".join(each), np.uint8), np.cumsum([len(x) for x in each])
+
+    def texts(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+        """UTF-8 of the texts of ids that stand one text after another."""
+        data, sizes = gathered(self.flat, self.stops, ids)
+        at = np.concatenate(([0], np.cumsum(sizes)))[starts].tolist()
+        quiet = not np.isin(ids, list(self.silent)).any()
+        whole = memoryview(np.ascontiguousarray(data))
+        for k, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+            mine = ids[starts[k] : starts[k + 1]]
+            text = bytes(whole[a + (1 if len(mine) and self.dummy_prefix and int(mine[0]) in self.marked else 0) : b])
+            try:
+                if not quiet:
+                    raise ValueError
+                text.decode()
+            except ValueError:  # control pieces, or bytes that are not UTF-8
+                text = self.text(mine.tolist()).encode()
+            yield text
 
     def text(self, ids: list[int]) -> str:
         if not self.silent.isdisjoint(ids):  # a control piece ends a run of bytes
@@ -293,9 +325,14 @@ def encode(spark: SparkSession, docs: DataFrame, model_path: str, *, id_col: str
 
     def make():
         one = encoder(model.value)
-        return lambda doc_ids, texts: {"doc_id": doc_ids, "ids": [one.ids(t) for t in texts]}
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, ids array<int>", "sentencepiece")
+        def work(doc_ids, texts):
+            ids, starts = one.packed(texts)
+            return {"doc_id": doc_ids, "ids": pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))}
+
+        return work
+
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, ids array<int>", "sentencepiece", arrays=True)
 
 
 def decode(spark: SparkSession, encoded: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -322,17 +359,13 @@ def round_trips(spark: SparkSession, docs: DataFrame, model_path: str, *, id_col
         one, back = encoder(model.value), decoder(model.value)
 
         def work(doc_ids, texts):
-            n, sha, decoded, same = [], [], [], []
-            for t in texts:
-                packed = one.packed(t)
-                ids = array("i", packed)
-                again = back.text(ids)
-                n.append(len(ids))
-                sha.append(hashlib.sha256(packed).hexdigest())
-                decoded.append(hashlib.sha256(again.encode()).hexdigest())
-                same.append(again == t)
-            return {"doc_id": doc_ids, "n_tokens": n, "ids_sha256": sha, "decoded_sha256": decoded, "round_trip": same}
+            ids, starts = one.packed(texts)
+            bounds = list(zip(starts.tolist(), starts[1:].tolist(), strict=False))
+            sha = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in bounds]
+            again = list(back.texts(ids, starts))
+            same = [a == t.as_buffer().to_pybytes() for a, t in zip(again, texts, strict=True)]
+            return {"doc_id": doc_ids, "n_tokens": pa.array(np.diff(starts)), "ids_sha256": sha, "decoded_sha256": [hashlib.sha256(a).hexdigest() for a in again], "round_trip": same}
 
         return work
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean", "sentencepiece")
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean", "sentencepiece", arrays=True)

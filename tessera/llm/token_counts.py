@@ -5,6 +5,9 @@ from __future__ import annotations
 from heapq import heapify, heappop, heappush
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +63,7 @@ def counter(model: bytes) -> Memo:
         pieces = load(model)
         if pieces.kind != BPE:
             raise ValueError("merging needs a byte-pair model")
-        store[model] = Memo(pieces, lambda s: count_segment(s, pieces), 800_000)
+        store[model] = Memo(pieces, lambda new: [count_segment(s, pieces) for s in new], sum)
     return store[model]
 
 
@@ -77,12 +80,14 @@ def token_counts(spark: SparkSession, docs: DataFrame, model_path: str, *, id_co
     kind = dict(docs.dtypes)[id_col]
 
     def make():
-        words = counter(model.value).words
+        counts = counter(model.value).results
 
         def work(ids, texts):
-            n = [sum(words(t)) for t in texts]
-            return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+            values, index, starts = counts(texts)
+            sums = np.concatenate(([0], np.cumsum(np.array(values, np.int64)[index])))
+            n = np.diff(sums[starts])
+            return {"doc_id": ids, "n_bytes": pc.binary_length(texts), "n_tokens": pa.array(n), "over_limit": pa.array(n > limit)}
 
         return work
 
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", "token counts")
+    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", "token counts", arrays=True)
