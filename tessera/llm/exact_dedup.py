@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, arrow_map, text_or_empty
+from tessera.llm.common import Scratch, arrow_map, numbered, text_or_empty, unique_ids
 
 #: A safe prime (p and (p - 1) / 2 are prime), so powers of 256 don't repeat within any text.
 PRIME = (1 << 122) + 12523
@@ -88,22 +88,36 @@ def exact_dedup(
     salt_rows: int = 256,
     prime: int = PRIME,
 ) -> DataFrame:
-    """One row a document: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    Of equal texts the row with the largest id stays. A null text is empty. Ids must be unique and not
-    null (rows with a null id are left out); other columns, whatever their names, are not read.
+    Of equal texts the row with the largest id stays. A null text is empty. A null id is less than any
+    other; of rows that repeat an id, too, one stays, and each counts. Other columns, whatever their names,
+    are not read.
 
     The texts of a group are dealt over ``salt_rows`` members a task with a copy of the text that stays,
     so that one group may hold any share of the rows. Rows that turn out to differ from the row that
-    stays although their fingerprints are equal form groups of their own, until none are left.
+    stays although their fingerprints are equal form groups of their own, until none are left. What a
+    join meets with a hot key is a written table, so that the engine can split that key's rows.
     """
     scratch = Scratch(spark)
-    kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).filter("doc_id IS NOT NULL")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    options = {"split_chars": split_chars, "compare_chars": compare_chars, "salt_rows": salt_rows, "prime": prime}
+    if unique_ids(texts, "doc_id"):
+        return _unique(scratch, texts, **options)
+    rows = numbered(scratch, texts.withColumnRenamed("doc_id", "id"), "id", "doc_id", nulls_first=True)
+    found = _unique(scratch, rows.select("doc_id", "text"), **options)
+    ids = rows.select("doc_id", "id")
+    found = found.join(ids, "doc_id").join(ids.select(F.col("doc_id").alias("keep_id"), F.col("id").alias("keep")), "keep_id")
+    return found.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept", "text_sha256")
+
+
+def _unique(scratch: Scratch, texts: DataFrame, *, split_chars: int, compare_chars: int, salt_rows: int, prime: int) -> DataFrame:
+    """``exact_dedup`` of ``doc_id, text`` with ids that are unique and not null."""
+    kind = dict(texts.dtypes)["doc_id"]
     fps = scratch.table(fingerprints(texts, kind, split_chars=split_chars, prime=prime))
     open_rows, settled = fps, None
     while True:
-        groups = open_rows.groupBy("n_bytes", "fp").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1")
+        groups = scratch.table(open_rows.groupBy("n_bytes", "fp").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1"))
         members = open_rows.select("doc_id", "n_bytes", "fp").join(groups, ["n_bytes", "fp"]).filter("doc_id <> keep_id")
         members = scratch.table(members.select("doc_id", "keep_id", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / salt_rows)).alias("salt")))
         apart = scratch.table(differing(texts, members, compare_chars))
@@ -112,7 +126,7 @@ def exact_dedup(
         if apart.isEmpty():
             break
         open_rows = open_rows.join(apart, "doc_id", "left_semi")
-    sized = settled.groupBy("keep_id").agg((F.count("*") + 1).alias("group_size"))
+    sized = scratch.table(settled.groupBy("keep_id").agg((F.count("*") + 1).alias("group_size")))
     kept = settled.join(sized, "keep_id").select("doc_id", "keep_id", "group_size").union(sized.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size"))
     known = fps.join(kept, "doc_id", "left")
     keep = F.coalesce("keep_id", "doc_id")
