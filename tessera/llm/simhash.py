@@ -260,18 +260,19 @@ def simhash_components(
     words: int = 1,
     free_bits: int = 9,
 ) -> DataFrame:
-    """One row a document: ``doc_id, fp array<bigint>, component_id``.
+    """One row for each row of ``docs``: ``doc_id, fp array<bigint>, component_id``.
 
-    ``component_id`` is the smallest id reachable over links of at most ``most_bits`` differing bits. A
-    null text is empty, and empty texts have fingerprint 0 and link like others. Ids must be unique
-    integers and not null (rows with a null id are left out); other columns are not read. Equal
+    ``component_id`` is the smallest id reachable over links of at most ``most_bits`` differing bits, null
+    where only null ids are. A null text is empty, and empty texts have fingerprint 0 and link like others.
+    Ids are integers; null and repeated ones are rows like others. Other columns are not read. Equal
     fingerprints are one row from the first shuffle on, however many documents have them.
     """
     scratch = Scratch(spark)
-    kind = dict(docs.dtypes)[id_col]
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).filter("doc_id IS NOT NULL")
-    fps = scratch.table(fingerprints(texts, kind, shingle, words))
-    distinct = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("id")))
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    fps = scratch.table(fingerprints(texts, dict(docs.dtypes)[id_col], shingle, words))
+    distinct = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()))
     label = components(spark, linked(distinct, most_bits, words, free_bits), scratch)
-    named = distinct.join(label, distinct.id == label.node, "left").select("fp", F.coalesce("component", "id").cast(kind).alias("component_id"))
+    named = scratch.table(distinct.join(label, distinct.id == label.node, "left").select("fp", "least", F.coalesce("component", "id").alias("part")))
+    least = scratch.table(named.groupBy("part").agg(F.min("least").alias("component_id")))
+    named = scratch.table(named.join(least, "part").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")

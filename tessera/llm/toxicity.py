@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, arrow_map, text_or_empty
+from tessera.llm.common import Scratch, arrow_filter, arrow_map, text_or_empty
 
 # Small closed word lists of English, German, French and Spanish.
 INSULTS = "idiot stupid moron scum loser worthless pathetic disgusting trash clown".split()
@@ -245,15 +245,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float]
 
         def work(ids, texts):
             x = np.array([words.features(t) for t in texts])
-            score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             n = np.expm1(x[:, len(CLASSES) :]).round().astype(np.int64)
-            return {"doc_id": ids, "score": score.tolist(), "n_clauses": n.sum(axis=1).tolist()}
+            return {"doc_id": ids, "score": score(x, weights).tolist(), "n_clauses": n.sum(axis=1).tolist()}
 
         return work
 
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, score double, n_clauses bigint")
 
 
+def under(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], threshold: float, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is under ``threshold``; rows stay where they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        insults, weights = shared.value
+        words = Lexicon(insults)
+        return lambda texts: [bool(score(words.features(t), weights) < threshold) for t in texts]
+
+    return arrow_filter(docs, text_col, make)
+
+
+def score(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that are never learned from: crc32 of the id's text modulo 3 is 1."""
     return F.crc32(F.encode(F.col(id_col).cast("string"), "utf-8")) % 3 == 1
@@ -263,10 +278,11 @@ def train_on(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options)
     """``train`` on the documents that ``labels`` (doc_id, toxic) marks and that aren't held out.
 
     The labels of the sample are broadcast (two numbers a row, bounded by ``sample_rows``) so that the
-    texts of all other documents stay where they are. Null labels and ids are skipped.
+    texts of all other documents stay where they are. Null labels and ids are skipped; an id with both
+    labels counts as toxic.
     """
     rows = options.get("sample_rows", 20_000)
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
     total = max(1, known.count())
     picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / total)))
     texts = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(picked), "doc_id")
