@@ -2,9 +2,11 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -77,7 +79,7 @@ def test_codec_on_random_text(sp):
         t = "".join(r.choice(" ▁\n\taé日ﬁthe<s>x.\x00𝒳0") for _ in range(r.randint(0, 60)))
         assert one.ids(t) == sp.encode(t)
         ids = [r.choice([0, 1, 2, 3, 5, 200, 259, 13, 300, 1000, 130, 131, 230]) for _ in range(r.randint(0, 12))]
-        assert back.text(ids) == sp.decode(ids)
+        assert back.text(ids) == sp.decode(ids) == next(back.texts(np.array(ids, np.int64), np.array([0, len(ids)]))).decode()
     long = "".join(r.choice("thearnsoling") for _ in range(30000))
     assert one.ids(long) == sp.encode(long)
 
@@ -86,9 +88,25 @@ def test_stream_commits_early():
     with open(MODEL, "rb") as f:
         one = codec.encoder(f.read())
     text = "▁" + "thearnsoling" * 4000
-    steps = one.stream(text)
+    last, back = [-1], [0]
+    steps = one.stream(text, last, back, [0.0])
     first = [next(steps) for _ in range(20)]
-    assert first == list(one.stream(text))[:20]
+    assert len(last) < 10 * one.pieces.longest  # the first ids came out of a window's boundaries
+    assert first == list(one.stream(text, [-1], [0], [0.0]))[:20]
+
+
+def test_memo_is_bounded_and_changes_nothing(sp):
+    with open(MODEL, "rb") as f:
+        one = codec.Encoder(codec.load(f.read()))
+    one.memo.words.most = one.memo.parts.most = 3000
+    texts = [prose(40, 500 + k) + f",x{k}.\nThe" for k in range(30)] + ["", "  a  b", "a", "\u2581 \u2581x", "x" * 100, "a b"]
+    back = codec.Decoder(one.pieces)
+    for at in range(0, len(texts), 4):
+        batch = texts[at : at + 4]
+        ids, starts = one.packed(pa.array(batch))
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [sp.encode(t) for t in batch]
+        assert [x.decode() for x in back.texts(ids, starts)] == [sp.decode(sp.encode(t)) for t in batch]
+        assert one.memo.words.size <= 3000 + 4 * 60 * 300
 
 
 def test_unigram_viterbi_is_the_librarys():
@@ -130,6 +148,13 @@ def test_exact_dedup_is_brute_force(spark, options):
     assert exact.exact_dedup(spark, empty(spark), **options).count() == 0
 
 
+def test_exact_dedup_of_null_and_repeated_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (2, "a b"), (None, "a b"), (None, None), (None, ""), (3, "c"), (3, "d"), (3, "d")]
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact.exact_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=repr)
+    want = [(1, 2, 4, False), (1, 2, 4, False), (2, 2, 4, True), (None, 2, 4, False), (None, None, 2, False), (None, None, 2, True), (3, 3, 1, True), (3, 3, 2, False), (3, 3, 2, True)]
+    assert got == sorted(want, key=repr)
+
+
 # --- SimHash
 
 
@@ -178,6 +203,14 @@ def test_simhash_is_brute_force(spark):
     assert simhash.simhash_components(spark, empty(spark)).count() == 0
 
 
+def test_simhash_of_null_and_repeated_ids(spark):
+    a, b = prose(120, 1), prose(120, 2)
+    near = " ".join(["odd", *a.split()[1:]])
+    rows = [(5, a), (5, b), (None, near), (7, a), (None, "one"), (None, "one"), (8, None), (9, " ")]
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.simhash_components(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=4, most_bits=12).collect()), key=repr)
+    assert got == sorted([(5, 5), (5, 5), (None, 5), (7, 5), (None, None), (None, None), (8, 8), (9, 8)], key=repr)
+
+
 def test_covering_loses_no_link():
     r = np.random.default_rng(0)
     x = r.integers(0, 2**32, 400)
@@ -275,6 +308,57 @@ def test_passages_that_a_document_repeats(spark, options):
         assert got == brute_repeats(texts, 50)
 
 
+def test_contexts_that_collide_in_32_bits(spark):
+    r = np.random.default_rng(11)
+    n, anchor = 160_000, b"the one anchor!!"
+    left, right = (r.integers(97, 123, (n, 17), dtype=np.uint8).tobytes() for _ in range(2))
+    texts = [left[17 * k : 17 * k + 17] + anchor + right[17 * k : 17 * k + 17] for k in range(n)]
+    data, stops = b"".join(texts), np.arange(1, n + 1) * 50
+    got = repeats.segments(data, stops - 50, stops, 50)
+    low = got["whole"] & np.uint64(0xFFFFFFFF)
+    order = np.argsort(low)
+    alike = np.flatnonzero((low[order][1:] == low[order][:-1]) & (got["doc"][order][1:] != got["doc"][order][:-1]))
+    assert len(alike)
+    assert len(np.unique(got["whole"])) == len(got["whole"])
+    pairs = [texts[got["doc"][order[k + j]]] for k in alike[:3] for j in (0, 1)]
+    df = spark.createDataFrame([(k, t.decode()) for k, t in enumerate(pairs)], "doc_id bigint, text string")
+    assert all(x.n_removed == 0 for x in repeats.remove_repeats(spark, df).collect())
+
+
+def test_a_batch_confirms_bytes():
+    raw = np.frombuffer(b"abcabdabcx", np.uint8)
+    fresh = repeats._confirmed(raw, np.array([0, 3, 6]), np.array([3, 3, 3]), np.array([True, False, False]))
+    assert fresh.tolist() == [True, True, True]
+    assert repeats._confirmed(raw, np.array([0, 6, 6]), np.array([3, 3, 4]), np.array([True, False, False])).tolist() == [True, False, True]
+
+
+def test_hot_cells_stay_light(spark, monkeypatch):
+    lines = [prose(14, 60 + k) for k in range(4)]
+    texts = {d: f"{prose(4, 80 + d)} {lines[d % 4]} {prose(4, 90 + d)} {lines[(d + 1) % 4]}" for d in range(30)}
+    batches = [pa.RecordBatch.from_arrays([pa.array([d]), pa.array([t.encode()]), pa.array([0])], names=["doc", "data", "base"]) for d, t in texts.items()]
+    rows = [x for b in batches for x in repeats._sketch(50, 1)(iter([b]))]
+    plain = [x for x in repeats._settle(50)(iter(rows)) if x.num_rows]
+    monkeypatch.setattr(repeats, "CELL_RECORDS", 50)
+    light = [x for x in repeats._settle(50)(iter(rows)) if x.num_rows]
+
+    def bytes_gone(found):
+        return {(x["doc"], k) for b in found for x in b.to_pylist() if x["anchor"] is None for k in range(x["start"], x["stop"])}
+
+    def sent(found):
+        return sorted((x["anchor"], x["doc"], x["start"], x["stop"]) for b in found for x in b.to_pylist() if x["anchor"] is not None)
+
+    assert bytes_gone(plain) == bytes_gone(light) and sent(plain) == sent(light) and len(light) > len(plain)
+
+
+def test_repeats_with_null_and_repeated_ids(spark):
+    passage = prose(30, 1)
+    rows = [(1, passage), (1, "x " + passage), (2, passage), (2, passage), (2, prose(40, 2) + passage), (None, passage), (None, None), (3, None), (3, prose(12, 4)), (4, prose(12, 4))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((x.doc_id, x.n_bytes, x.n_removed) for x in repeats.remove_repeats(spark, df).collect()), key=repr)
+    n, m, k = len(passage), len(prose(40, 2)), len(prose(12, 4))
+    assert got == sorted([(1, n, 0), (1, n + 2, 0), (2, n, n), (2, n, n), (2, m + n, n), (None, n, 0), (None, 0, 0), (3, 0, 0), (3, k, 0), (4, k, k)], key=repr)
+
+
 def test_long_texts_in_slices():
     text = prose(400, 8).encode()
     whole = repeats.segments(text, np.array([0]), np.array([len(text)]), 50)
@@ -323,12 +407,15 @@ def test_decontaminate_finds_edited_copies(spark, block_words):
     for k in (6, 17, 29, 40):
         edited[k] = "changed"
     del edited[22]
-    docs = {0: prose(300, 1), 1: prose(50, 2) + " " + items[1] + " " + prose(50, 3), 2: prose(90, 4) + " " + " ".join(edited), 3: None, 4: "", 5: " ".join(items[4].split()[:12]), 6: items[5].upper() + "\n" + items[0]}
+    docs = {0: prose(300, 1), 1: prose(50, 2) + " " + items[1] + " " + prose(50, 3), 2: prose(90, 4) + " " + " ".join(edited), 3: None, 4: "", 5: " ".join(items[4].split()[:12]), 6: items[5].upper() + "\n" + items[0], 7: "so an x, not", 8: "an"}
     d = spark.createDataFrame([(k, t, 0) for k, t in docs.items()], "doc_id bigint, text string, item_id int")
-    b = spark.createDataFrame([*items.items(), (90, None), (91, ""), (92, "too short")], "item_id bigint, text string")
+    b = spark.createDataFrame([*items.items(), (90, None), (91, ""), (92, "not there"), (93, "an X"), (94, "--")], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.score for r in dec.decontaminate(spark, d, b, block_words=block_words).collect()}
-    assert set(got) == {(1, 1), (2, 2), (6, 5), (6, 0)}
+    assert set(got) == {(1, 1), (2, 2), (6, 5), (6, 0), (7, 93)}
     assert got[1, 1] == got[6, 5] == 1.0 and 0.7 < got[2, 2] < 1
+    left = dec.without_items(spark, d, b, block_words=block_words)
+    assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {0, 3, 4, 5, 8}
+    assert dec.without_items(spark, d, b.limit(0)).count() == len(docs)
     assert dec.decontaminate(spark, d, b.limit(0)).count() == 0 and dec.decontaminate(spark, empty(spark), b).count() == 0
 
 
@@ -422,6 +509,28 @@ def test_secrets(spark):
     assert secrets.secret_scan(spark, empty(spark)).count() == 0
 
 
+def test_secrets_of_a_text_with_very_many(spark):
+    r = random.Random(6)
+    some = lambda: r.choice(("password=" + "ab1" * 5, "AKIA" + "Q7" * 8, "%018x" % r.getrandbits(70), "user=alice99", "x@host.example", "plain", "é日"))
+    texts = [" ".join(some() for _ in range(n)) for n in (3, 50, 10_000)] + [" ".join("%018d" % k for k in range(10_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    secrets.secret_scan(spark, df.limit(1)).collect()
+    began = time.time()
+    got = {x.doc_id: x for x in secrets.secret_scan(spark, df).collect()}
+    took = time.time() - began
+    for i, t in enumerate(texts):
+        base = [f"{k}:{a}:{b}" for a, _, b, k in brute_base(t)]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(got[i].spans.split(","))
+    assert got[3].n_hex == 10_000 and took < 30
+
+
+def test_running_sums(spark):
+    rows = [[], [5], [1, 2], list(range(100)), [3] * 1025]
+    df = spark.createDataFrame([(x,) for x in rows], "a array<int>")
+    got = [x.s for x in df.select(secrets.running_sums(F.col("a")).alias("s")).collect()]
+    assert got == [np.cumsum(x).tolist() for x in rows]
+
+
 def test_secrets_link_across_cells(spark):
     texts, want = {}, {}
     for weak in ("user=alice1234", "https://host.example/" + "path/" * 120):
@@ -478,3 +587,15 @@ def test_warc_round_trip(spark):
     assert mine["metadata"].block.split("\r\n")[1:] == ["source-header-Content-Type: text/html; charset=utf-8", "title: A b", "outlink: /l", ""]
     assert mine["metadata"].source_digest == "sha256:" + hashlib.sha256(html.encode()).hexdigest()
     assert warc.derivatives(spark, warc.page_responses(pages.limit(0))).count() == 0
+
+
+def test_warc_links_and_long_and_repeated_pages(spark):
+    html = """<A HREF='one'>x</A><a class=b href = two>y</a><link\nhref="th'ree"/><a data-href="no">z</a> &amp;lt; a &lt;b&gt; \t c<SCRIPT>a</SCRIPT ><!-- <p> -->"""
+    rows = [(1, "u", html), (1, "u", html), (2, "v", "<p>x</p>" * 60_000), (None, None, "<p")]
+    got = warc.derivatives(spark, warc.page_responses(spark.createDataFrame(rows, "page_id bigint, url string, html string"))).collect()
+    assert len(got) == 8
+    links = [r.block.split("\r\n") for r in got if r.warc_type == "metadata" and r.target_uri == "u"]
+    assert [x for x in links[0] if x.startswith("outlink")] == ["outlink: one", "outlink: two", "outlink: th'ree"] and links[0] == links[1]
+    texts = {r.target_uri: r.block for r in got if r.warc_type == "conversion"}
+    assert texts["u"] == "xyz &lt; a <b> c" and texts["v"] == "\n".join(["x"] * 60_000) and texts[""] == "<p"
+    assert len({r.record_id for r in got if r.target_uri == "u"}) == 2  # a record that repeats keeps its id

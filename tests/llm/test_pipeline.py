@@ -41,3 +41,20 @@ def test_pipeline_stages(spark):
         docs = docs.filter(docs.doc_id.isin(kept))
     last = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert {r.doc_id for r in last} == seen and all(r.n_tokens == len(r.ids) for r in last)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    prose = " ".join(f"word{k} of" for k in range(60))
+    rows = [(1, prose, "a"), (1, prose, "b"), (None, prose, "c"), (2, prose + " end", "d"), (None, None, "e"), (3, "", None), (4, "alone", "f"), (None, "apart", "g"), (None, "apart", "h"), (4, "quite another text", "i")]
+    for name, schema, data in (("documents", "doc_id bigint, text string, row string", rows), ("labels", "doc_id bigint, toxic int", []), ("benchmark", "item_id bigint, text string", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = queries.table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "row"]
+    left = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(left, key=repr) == sorted([(1, prose), (3, ""), (4, "alone"), (4, "quite another text"), (None, "apart")], key=repr)
+    none = queries.table(spark, str(tmp_path), "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+    assert none.count() == 0
