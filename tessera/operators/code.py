@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -11,13 +11,20 @@ from tessera.operators import graph, kernels
 C = F.col
 
 
-def callers(calls: DataFrame, name: str, receiver: str = "") -> DataFrame:
-    """J-1, J-1b: calls of a function, or of ``x.name`` for any x, as test or direct."""
+def callers(calls: DataFrame, name: str, receiver: str = "", uses: DataFrame | None = None) -> DataFrame:
+    """J-1, J-1b: calls of a function, or of ``x.name`` for any x, as test or direct. With ``uses`` also the
+    places that hand the function on without calling it, as indirect (or test)."""
     hit = C("callee_text") == (f"{receiver}.{name}" if receiver else name)
     if not receiver:
         hit = hit | ((F.size(F.split("callee_text", r"\.")) == 2) & (C("callee_name") == name))
     kind = F.when(C("is_test"), "test").otherwise("direct")
-    return calls.filter(hit).select("path", "line", "caller_key", "callee_text", kind.alias("category"))
+    found = calls.filter(hit).select("path", "line", "caller_key", "callee_text", kind.alias("category"))
+    if uses is None:
+        return found
+    handed = uses.filter((C("name") == name) & C("context").isin("other", "assign_rhs", "return") & (F.ltrim("receiver", F.lit("*")) == receiver.lstrip("*")))
+    handed = handed.join(found.select("path", "line"), ["path", "line"], "left_anti")
+    indirect = F.when(C("is_test"), "test").otherwise("indirect")
+    return found.union(handed.select("path", "line", C("func_key").alias("caller_key"), C("name").alias("callee_text"), indirect.alias("category")).distinct())
 
 
 def grouped_callers(found: DataFrame) -> DataFrame:
@@ -71,20 +78,82 @@ def demoted(api: DataFrame, intents: DataFrame) -> DataFrame:
     return api.join(first, "symbol", "left").withColumn("severity", F.when(C("intent").isNotNull(), "info").otherwise(C("severity")))
 
 
+CUT_MARK = "\n… [cut to the budget]"
+
+
 def context_pack(facts: dict[str, DataFrame], key: str, budget: int) -> DataFrame:
-    """J-6, W-4: a definition, its callers, the types of its signature and its tests, cut to a budget of
-    characters in that order of worth: definition, callers, types, tests."""
+    """J-6, W-4: a definition, its callers, the types of its signature and its tests: ``kind, path, text``.
+
+    Over ``budget`` characters types go first, the last one before the others, then callers and tests in the
+    same way; a definition that is still too long is cut, with a mark at its end."""
     d = facts["decls"].filter(C("key") == key)
     name = key.split(":")[-1]
     names = d.select(F.explode(F.concat("params.type", "results.type")).alias("t")).select(F.regexp_extract("t", r"([A-Za-z_]\w*)$", 1).alias("name")).distinct()
     row = lambda x, kind, worth, what: x.select(F.lit(kind).alias("kind"), F.lit(worth).alias("worth"), "path", what.alias("text"))
-    body = facts["blocks"].filter((C("func_key") == key) & C("is_fn_body"))
-    parts = row(body, "definition", 0, C("text"))
-    parts = parts.union(row(callers(facts["raw_calls"], name).filter("category = 'direct'"), "caller", 1, F.concat_ws(":", "caller_key", C("line").cast("string"))))
-    parts = parts.union(row(facts["types"].join(names, "name", "left_semi"), "type", 2, F.concat_ws(" ", "name", "kind")))
-    parts = parts.union(row(callers(facts["raw_calls"], name).filter("category = 'test'"), "test", 3, C("caller_key")))
-    one = parts.distinct().withColumn("pack", F.lit(1))
-    return kernels.budget_trim(one, ["pack"], F.length("text"), budget, ["worth", "path", "text"]).drop("pack")
+    calls = callers(facts["raw_calls"], name)
+    parts = row(facts["blocks"].filter((C("func_key") == key) & C("is_fn_body")), "definition", 0, C("text"))
+    parts = parts.union(row(calls.filter("category = 'direct'"), "caller", 1, F.concat_ws(":", "caller_key", C("line").cast("string"))))
+    parts = parts.union(row(calls.filter("category = 'test'"), "test", 2, C("caller_key")))
+    parts = parts.union(row(facts["types"].join(names, "name", "left_semi"), "type", 3, F.concat_ws(" ", "name", "kind")))
+    return trimmed(parts.distinct(), budget)
+
+
+def trimmed(parts: DataFrame, budget: int) -> DataFrame:
+    """W-4: ``kind, path, text`` of parts (with ``worth``, 0 for what is cut instead of dropped) within a budget."""
+    w = Window.partitionBy(F.lit(1)).orderBy("worth", "path", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
+    room = F.lit(budget) - C("before")
+    cut = F.concat(F.left("text", F.greatest(room - len(CUT_MARK), F.lit(0))), F.lit(CUT_MARK))
+    kept = before.filter((C("worth") == 0) | (F.length("text") <= room))
+    return kept.select("kind", "path", F.when((C("worth") == 0) & (F.length("text") > room), cut).otherwise(C("text")).alias("text"))
+
+
+def implements(divided: DataFrame, type_name: str, interface: str) -> DataFrame:
+    """J-4b: one type against one interface, from the division: how many methods it has and which are missing."""
+    return divided.filter((C("type") == type_name) & (C("iface") == interface))
+
+
+def block_metrics(facts: dict[str, DataFrame], path: str, first: int, last: int) -> DataFrame:
+    """AG-7: one row about a range of lines: statements, control statements, calls, names that are read and
+    written in it, and the complexity (1 and the control statements)."""
+    inside = lambda t, line="line": facts[t].filter((C("path") == path) & C(line).between(first, last))
+    stmts = inside("stmts").agg(F.count("*").alias("n_stmts"), F.count_if(C("kind").isin("if", "for", "range", "switch", "select")).alias("n_control"))
+    calls = inside("raw_calls").agg(F.count("*").alias("n_calls"))
+    written = C("context") == "assign_lhs"
+    used = inside("uses").agg(F.array_sort(F.collect_set(F.when(~written, C("name")))).alias("reads"), F.array_sort(F.collect_set(F.when(written, C("name")))).alias("writes"))
+    one = lambda x: x.withColumn("one", F.lit(1))
+    return one(stmts).join(one(calls), "one").join(one(used), "one").drop("one").withColumn("complexity", 1 + C("n_control"))
+
+
+def scored_functions(facts: dict[str, DataFrame]) -> DataFrame:
+    """AG-9b: how many functions and methods stand outside tests."""
+    return facts["decls"].agg(F.count_if(C("kind").isin("func", "method") & ~C("is_test")).alias("functions"))
+
+
+def conditions_met(spark: SparkSession, facts: dict[str, DataFrame], conditions: list[dict]) -> DataFrame:
+    """P-5d: ``position, met`` of conditions of the kinds ``complexity`` (of a key, compared), ``function_exists``
+    and ``file_exists`` (as wanted or not). Another kind is an error; a key that isn't there is null."""
+    rows = [(n, c["kind"], c["of"], c.get("op", "eq"), int(c["value"])) for n, c in enumerate(conditions)]
+    if bad := {r[1] for r in rows} - {"complexity", "function_exists", "file_exists"}:
+        raise ValueError(f"unknown kinds of conditions: {sorted(bad)}")
+    want = spark.createDataFrame(rows, "position int, kind string, of string, op string, value int")
+    known = facts["fn_metrics"].groupBy(C("key").alias("of")).agg(F.max("complexity").alias("n")).withColumn("kind", F.lit("complexity"))
+    known = known.unionByName(facts["decls"].select(C("key").alias("of"), F.lit(1).alias("n"), F.lit("function_exists").alias("kind")).distinct())
+    known = known.unionByName(facts["files"].select(C("path").alias("of"), F.lit(1).alias("n"), F.lit("file_exists").alias("kind")))
+    j = want.join(known, ["kind", "of"], "left").withColumn("n", F.when(C("kind") != "complexity", F.coalesce("n", F.lit(0))).otherwise(C("n")))
+    met = F.lit(None).cast("boolean")
+    for op in ("gt", "gte", "lt", "lte", "eq", "ne"):
+        met = F.when(C("op") == op, {"gt": C("n") > C("value"), "gte": C("n") >= C("value"), "lt": C("n") < C("value"), "lte": C("n") <= C("value"), "eq": C("n") == C("value"), "ne": C("n") != C("value")}[op]).otherwise(met)
+    return j.select("position", met.alias("met"))
+
+
+def move_cycles(edges: DataFrame, moved_imports: DataFrame, source: str, target: str) -> DataFrame:
+    """GR-8: packages that would close an import cycle if a declaration moved from ``source`` to ``target``:
+    of what the moved code imports, and the source itself where it still calls it, those that reach the
+    target already. ``edges`` is the closure of imports (src, dst); ``moved_imports`` has ``dir``."""
+    needs = moved_imports.select("dir").distinct().filter(C("dir") != target)
+    back = edges.filter(C("dst") == target).select(C("src").alias("dir")).distinct()
+    return needs.join(back, "dir", "left_semi").withColumn("from", F.lit(source))
 
 
 def package_graph(facts: dict[str, DataFrame]) -> DataFrame:

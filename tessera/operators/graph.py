@@ -15,6 +15,8 @@ class Rounds:
     def __init__(self, spark: SparkSession):
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.conf.set("spark.checkpoint.dir", folder)
         self.spark, self.root, self.n = spark, f"{folder}/rounds-{uuid.uuid4().hex}", 0
@@ -74,7 +76,7 @@ def path_tree(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def shortest_path(spark: SparkSession, edges: DataFrame, start: str, goal: str, most: int = 20) -> list[str] | None:
+def shortest_path(spark: SparkSession, edges: DataFrame, start: str, goal: str) -> list[str] | None:
     """GR-5b: a shortest path (the first in alphabetical order of equals), or None.
 
     The frontier keeps one path a node, so it never holds more rows than there are nodes."""
@@ -82,7 +84,7 @@ def shortest_path(spark: SparkSession, edges: DataFrame, start: str, goal: str,
     e = rounds.keep(edges.select("src", "dst").distinct())
     front = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     seen = front.select("node")
-    for _ in range(most):
+    while True:
         hit = front.filter(F.col("node") == goal).select("path").first()
         if hit:
             return list(hit.path)
@@ -92,14 +94,22 @@ def shortest_path(spark: SparkSession, edges: DataFrame, start: str, goal: str,
         if front.isEmpty():
             return None
         seen = rounds.keep(seen.union(front.select("node")))
-    return None
 
 
-def longest_chain(edges: DataFrame, most: int = 12) -> DataFrame:
-    """GR-6: ``node, length`` of the longest path without repeats from each node, up to ``most`` edges."""
-    roots = edges.select(F.col("src").alias("root")).distinct()
-    paths = path_tree(edges, roots, most).filter("NOT is_cycle")
-    return paths.groupBy(F.col("root").alias("node")).agg(F.max("depth").alias("length"))
+def longest_chain(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """GR-6: ``node, length`` of the longest path without repeats from each node. Each round's open paths are
+    written; the rounds end when none is open, after as many as the longest path has edges."""
+    rounds = Rounds(spark)
+    e = rounds.keep(edges.select("src", "dst").distinct())
+    level = rounds.keep(e.select(F.col("src").alias("root"), F.array("src", "dst").alias("path")).filter("src <> dst"))
+    out = e.select(F.col("src").alias("node"), F.lit(0).alias("length"))
+    length = 0
+    while not level.isEmpty():
+        length += 1
+        out = out.union(level.select("root", F.lit(length)).distinct())
+        longer = level.withColumn("src", F.element_at("path", -1)).join(e, "src").filter(~F.array_contains("path", F.col("dst")))
+        level = rounds.keep(longer.select("root", F.concat("path", F.array("dst")).alias("path")))
+    return out.groupBy("node").agg(F.max("length").alias("length"))
 
 
 def blast_level(score: Column) -> Column:

@@ -93,6 +93,36 @@ def impact(n: Column, statements: Column, complexity: Column) -> Column:
     return F.least(F.lit(1000), (n - 1) * statements * (F.lit(1) + complexity))
 
 
+def savings(n: Column, statements: Column) -> Column:
+    """AG-3c: what a group of copies would save: (n - 1) * statements."""
+    return (n - 1) * statements
+
+
+def duplicate_totals(groups: DataFrame) -> DataFrame:
+    """AG-3c: one row over groups (n, statements, kind): groups, savings, and copies of functions and methods."""
+    kinds = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"{k}s") for k in ("function", "method")]
+    return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(savings(F.col("n"), F.col("statements"))), F.lit(0)).alias("savings"), *kinds)
+
+
+def diagnosed(clusters: DataFrame, cases: Sequence[tuple[str, str]], otherwise: str = "unknown") -> DataFrame:
+    """AG-11b: ``diagnosis`` of a cluster's reason by the first pattern that it matches."""
+    out = F.lit(None).cast("string")
+    for pattern, name in reversed(cases):
+        out = F.when(F.col("reason").rlike(pattern), name).otherwise(out)
+    return clusters.withColumn("diagnosis", F.coalesce(out, F.lit(otherwise)))
+
+
+def by_size(clusters: DataFrame, keys: Sequence[str], position: str = "first_at") -> DataFrame:
+    """T-5: largest first, then by the keys, then as first seen."""
+    return clusters.orderBy(F.desc("n"), *keys, position)
+
+
+def unique_names(df: DataFrame, name: str, order: Sequence) -> DataFrame:
+    """W-8: the first row of a name keeps it, the others get 2, 3, ... behind it, in ``order``."""
+    n = numbered(df, [name], order, "_n")
+    return n.withColumn(name, F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(name, F.col("_n").cast("string")))).drop("_n")
+
+
 def token_counts(df: DataFrame, tokens: Column, *by: str) -> DataFrame:
     """AG-4: how often each token occurs."""
     return df.select(*by, F.explode(tokens).alias("token")).groupBy(*by, "token").agg(F.count("*").alias("n"))

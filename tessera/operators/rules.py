@@ -354,8 +354,10 @@ def god_package(f):
 
 @rule("duplicate-block")
 def duplicate_block(f):
-    """AG-3, F-1: function bodies, and blocks of three statements or more that aren't an idiom."""
-    b = f["blocks"].withColumn("norm", text.normalise_code(C("text"))).filter(C("is_fn_body") | ((C("n_stmts") >= 3) & ~text.is_idiom(C("norm"))))
+    """AG-3, F-1: function bodies, and blocks of three statements or more that aren't an idiom; configured
+    idioms are the rows of ``ignored_blocks`` (pattern), a few substrings."""
+    extra = tuple(r.pattern for r in f["ignored_blocks"].collect()) if "ignored_blocks" in f else ()
+    b = f["blocks"].withColumn("norm", text.normalise_code(C("text"))).filter(C("is_fn_body") | ((C("n_stmts") >= 3) & ~text.is_idiom(C("norm"), extra)))
     g = b.groupBy(F.md5(F.encode("norm", "utf-8")).alias("hash")).agg(F.count("*").alias("n"), F.max("n_stmts").alias("stmts"), F.max("n_control").alias("control"), F.bool_and("is_test").alias("all_tests"), F.min(F.struct("path", "start")).alias("at"))
     g = g.filter("n >= 2 AND NOT all_tests").withColumn("impact", kernels.impact(C("n"), C("stmts"), C("control"))).filter("impact >= 5")
     return found(g.select("*", "at.path", C("at.start").alias("line")), "duplicate-block", "warning", say(C("n"), " equal blocks of ", C("stmts"), " statements, impact ", C("impact")), value="impact", threshold="5")
@@ -363,7 +365,13 @@ def duplicate_block(f):
 
 @rule("dead-code")
 def dead_code(f):
-    """AG-4b: unexported functions whose name occurs once in their directory."""
+    """AG-4b: unexported functions whose name occurs once in their directory; at the aggressive level (the
+    tree's option ``aggressive_dead_code``, a table with any row) AG-4c too."""
+    hidden = dead_hidden(f)
+    return hidden.unionByName(dead_exported(f)) if "aggressive_dead_code" in f and not f["aggressive_dead_code"].isEmpty() else hidden
+
+
+def dead_hidden(f: dict[str, DataFrame]) -> DataFrame:
     n = f["idents"].groupBy("dir", "name").agg(F.sum("n").alias("n"))
     d = f["decls"].filter("kind = 'func' AND NOT exported AND NOT is_test AND name NOT IN ('main', 'init', '_')").filter(~C("name").rlike("^(Test|Benchmark|Example)"))
     return found(d.join(n, ["dir", "name"]).filter("n <= 1"), "dead-code", "warning", say(C("name"), " is never used"), "start", category="dead-code")
@@ -436,7 +444,7 @@ def pass_through_param(f):
     s = sites(f, "forwarded-param").filter("NOT is_test").select("path", "line", "dir", F.element_at(F.split("func_key", ":"), -1).alias("func"), "name", F.from_json("detail", "place int, callee string, at int").alias("d"))
     node = lambda fn, at: F.concat_ws("#", "dir", fn, at.cast("string"))
     edges = s.select(node(C("func"), C("d.place")).alias("src"), node(C("d.callee"), C("d.at")).alias("dst"), "path", "line", "func", "name")
-    chains = graph.longest_chain(edges, 8).filter("length >= 3")
+    chains = graph.longest_chain(s.sparkSession, edges).filter("length >= 3")
     return found(edges.join(chains, edges.src == chains.node), "pass-through-param", "info", say(C("func"), " only hands ", C("name"), " on, through ", C("length"), " calls"), value="length", threshold="3")
 
 

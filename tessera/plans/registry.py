@@ -37,10 +37,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 """)
 def baseline_ratchet(spark, sf_dir):
     """The n-th row of a type is new if n exceeds the type's baseline count."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    allowed = e.groupBy("event_type").agg(F.floor(F.count("*") / 3).cast("long").alias("allowed"))
-    n = e.withColumn("n", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")).cast("long"))
-    return n.join(allowed, "event_type").filter("n > allowed").select("event_id", "event_type", "n", "allowed")
+    e = kernels.numbered(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), ["event_type"], ["ts", "event_id"])
+    count = e.groupBy("event_type").agg(F.floor(F.count("*") / 3).cast("long").alias("count"))
+    new = kernels.ratchet(e, count, "event_type", ["ts", "event_id"]).join(count, "event_type")
+    return new.select("event_id", "event_type", F.col("n").cast("long").alias("n"), F.col("count").alias("allowed"))
 
 
 K = kernels
@@ -95,40 +95,37 @@ def growth_review(spark, sf_dir):
 
 
 _DIVISION = """
-    WITH have AS (SELECT DISTINCT l_suppkey, l_linenumber AS member FROM lineitem WHERE l_orderkey % 40 = 0),
-         need AS (SELECT DISTINCT l_returnflag AS grp, l_linenumber AS member FROM lineitem WHERE l_orderkey % 40 = 0 AND l_linenumber <= 3),
-         met AS (SELECT l_suppkey, grp, count(*) AS n_have, list(member) AS have FROM have JOIN need USING (member) GROUP BY ALL),
+    WITH have AS (SELECT DISTINCT o_custkey, o_orderpriority AS member FROM orders),
+         need AS (SELECT DISTINCT o_orderstatus AS grp, o_orderpriority AS member FROM orders),
+         met AS (SELECT o_custkey, grp, count(*) AS n_have, list(member) AS have FROM have JOIN need USING (member) GROUP BY ALL),
          size AS (SELECT grp, count(*) AS needed, list(member) AS everything FROM need GROUP BY grp)
 """
 
 
 def _divided(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 40 = 0").withColumn("member", F.col("l_linenumber"))
-    need = li.filter("l_linenumber <= 3").withColumnRenamed("l_returnflag", "grp")
-    return K.division(li, need, "l_suppkey", "grp", "member")
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderpriority").alias("member"), F.col("o_orderstatus").alias("grp"))
+    return K.division(o, o, "o_custkey", "grp", "member")
 
 
-@query(_DIVISION + "SELECT l_suppkey, grp, n_have, needed FROM met JOIN size USING (grp) WHERE n_have = needed")
+@query(_DIVISION + "SELECT o_custkey, grp, n_have, needed FROM met JOIN size USING (grp) WHERE n_have = needed")
 def relational_division(spark, sf_dir):
-    return _divided(spark, sf_dir).filter("complete").select("l_suppkey", "grp", "n_have", "needed")
+    return _divided(spark, sf_dir).filter("complete").select("o_custkey", "grp", "n_have", "needed")
 
 
-@query(_DIVISION + "SELECT l_suppkey, grp, n_have, needed, array_to_string(list_sort(list_filter(everything, lambda x: NOT list_contains(have, x))), ',') AS missing FROM met JOIN size USING (grp) WHERE n_have < needed")
+@query(_DIVISION + "SELECT o_custkey, grp, n_have, needed, array_to_string(list_sort(list_filter(everything, lambda x: NOT list_contains(have, x))), ',') AS missing FROM met JOIN size USING (grp) WHERE n_have < needed")
 def partial_division(spark, sf_dir):
-    return _divided(spark, sf_dir).filter("NOT complete").select("l_suppkey", "grp", "n_have", "needed", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"))
+    return _divided(spark, sf_dir).filter("NOT complete").select("o_custkey", "grp", "n_have", "needed", F.array_join("missing", ",").alias("missing"))
 
 
 @query("""
-    WITH m AS (SELECT DISTINCT c_nationkey AS nation, c_mktsegment AS seg FROM customer WHERE c_custkey % 10 = 0),
-         full_ AS (SELECT seg, min(nation) AS nation, count(*) AS n FROM m GROUP BY seg)
-    SELECT seg, nation FROM full_ WHERE n = 1
-    UNION ALL SELECT seg || '!', nation FROM (SELECT seg, min(nation) AS nation, count(*) AS n FROM (SELECT * FROM m WHERE nation < 1) GROUP BY seg) WHERE n = 1
+    WITH m AS (SELECT DISTINCT p_brand AS brand, p_type AS type FROM part), need AS (SELECT DISTINCT p_brand || '/' || p_size AS grp, p_type AS type FROM part),
+         size AS (SELECT grp, count(*) AS needed FROM need GROUP BY grp), met AS (SELECT brand, grp, count(*) AS n FROM m JOIN need USING (type) GROUP BY brand, grp)
+    SELECT grp, min(brand) AS brand FROM met JOIN size USING (grp) WHERE n = needed GROUP BY grp HAVING count(*) = 1
 """)
 def sole_implementation(spark, sf_dir):
-    m = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("seg")).distinct()
-    need = m.select("seg").distinct().withColumn("grp", F.col("seg"))
-    one = lambda x: K.sole_implementations(K.division(x, need, "nation", "grp", "seg"), "grp", "nation")
-    return one(m).select(F.col("grp").alias("seg"), "nation").union(one(m.filter("nation < 1")).select(F.concat("grp", F.lit("!")), "nation"))
+    """Sizes of a brand whose types one brand alone offers."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("grp"))
+    return K.sole_implementations(K.division(p, p, "brand", "grp", "type"), "grp", "brand")
 
 
 @query("""
@@ -148,8 +145,9 @@ def dup_docs(spark, sf_dir):
 """)
 def dup_impact(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    g = d.groupBy(F.md5(F.encode("text", "utf-8")).alias("hash")).agg(F.count("*").alias("n"), F.max(F.size(F.split("text", "\n", -1))).alias("lines"), F.max(F.size(F.split("text", r"\. ", -1))).alias("sentences")).filter("n >= 2")
-    return g.select("hash", "n", K.impact(F.col("n"), F.col("lines"), F.col("sentences")).cast("long").alias("impact"), ((F.col("n") - 1) * F.col("lines")).cast("long").alias("saved"))
+    d = d.select("text", F.size(F.split("text", "\n", -1)).alias("lines"), F.size(F.split("text", r"\. ", -1)).alias("sentences"))
+    g = K.duplicates(d, F.md5(F.encode("text", "utf-8")), ["lines", "sentences"]).withColumn("one", F.col("locations")[0])
+    return g.select("hash", "n", K.impact(F.col("n"), F.col("one.lines"), F.col("one.sentences")).cast("long").alias("impact"), K.savings(F.col("n"), F.col("one.lines")).cast("long").alias("saved"))
 
 
 @query("""
@@ -158,8 +156,9 @@ def dup_impact(spark, sf_dir):
     SELECT token, doc_id FROM f WHERE n = 1
 """)
 def token_freq_dead(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("token"))
-    return t.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("token", "doc_id")
+    tokens = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    by_doc = K.token_counts(table(spark, sf_dir, "documents"), tokens, "doc_id")
+    return by_doc.groupBy("token").agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("token", "doc_id")
 
 
 @query("""
@@ -172,13 +171,14 @@ def split_only_live(spark, sf_dir):
 
 
 @query("""
-    WITH c AS (SELECT conv_id, turn, role, trim(lower(regexp_replace(left(text, 12), '[0-9]+', '#', 'g')), ' ') AS reason FROM conversations),
-         f AS (SELECT role, reason, conv_id, count(*) AS n, min(conv_id * 1000 + turn) AS pos FROM c GROUP BY ALL)
-    SELECT role, reason, CAST(sum(n) AS BIGINT) AS n, min(pos) AS first_at, array_to_string(list(conv_id ORDER BY pos, conv_id), ',') AS specs FROM f GROUP BY role, reason HAVING sum(n) >= 2
+    WITH c AS (SELECT event_id, user_id, event_type, trim(lower(regexp_replace(props, '[0-9]+', '#', 'g')), ' ') || ' of ' || (user_id % 10) AS reason FROM events),
+         f AS (SELECT event_type, reason, user_id, count(*) AS n, min(event_id) AS pos FROM c GROUP BY ALL)
+    SELECT event_type, reason, CAST(sum(n) AS BIGINT) AS n, min(pos) AS first_at, array_to_string(list(user_id ORDER BY pos, user_id), ',') AS specs FROM f GROUP BY event_type, reason HAVING sum(n) >= 2
 """)
 def name_clusters(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("at", F.col("conv_id") * 1000 + F.col("turn"))
-    found = K.clusters(c, ["role"], text.plain_reason(F.left("text", F.lit(12))), "conv_id", "at", least=2)
+    """AG-11, over whole reasons."""
+    reason = F.concat(text.plain_reason(F.col("props")), F.lit(" of "), (F.col("user_id") % 10).cast("string"))
+    found = K.clusters(table(spark, sf_dir, "events"), ["event_type"], reason, "user_id", "event_id", least=2)
     return found.withColumn("specs", F.array_join(F.col("specs").cast("array<string>"), ","))
 
 
@@ -248,13 +248,25 @@ def fan_in_out(spark, sf_dir):
     return K.degrees(e, "src", "dst").filter("fan_out > 10 OR fan_in > 8")
 
 
-_EDGES = "edges AS (SELECT DISTINCT l_partkey AS src, l_partkey % 7 * 13 + l_suppkey AS dst FROM lineitem WHERE l_orderkey % 16 = 0 AND l_partkey <= 120)"
+# Parts make a graph of names: brand to type, and on to the words of a name; what users do one after another
+# gives a graph with cycles.
+_EDGES = """edges AS (
+    SELECT DISTINCT p_brand AS src, p_type AS dst FROM part UNION SELECT p_type, split_part(p_name, ' ', 1) FROM part UNION SELECT split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) FROM part
+    UNION SELECT a, b FROM (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NOT NULL)"""
 _REACH = f"WITH RECURSIVE {_EDGES}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src)"
 
 
+def _names(spark, sf_dir):
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    steps = [F.col("p_brand"), F.col("p_type"), word(1), word(2)]
+    pairs = F.explode(F.array(*(F.struct(a.alias("src"), b.alias("dst")) for a, b in zip(steps, steps[1:], strict=False))))
+    return table(spark, sf_dir, "part").select(pairs.alias("e")).select("e.*").distinct()
+
+
 def _edges(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 16 = 0 AND l_partkey <= 120")
-    return li.select(F.col("l_partkey").alias("src"), (F.col("l_partkey") % 7 * 13 + F.col("l_suppkey")).alias("dst")).distinct()
+    e = table(spark, sf_dir, "events")
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _names(spark, sf_dir).union(e.select(F.col("event_type").alias("src"), after.alias("dst")).filter("dst IS NOT NULL")).distinct()
 
 
 @query(_REACH + " SELECT src, dst FROM reach")
@@ -262,9 +274,9 @@ def closure(spark, sf_dir):
     return graph.reachable(spark, _edges(spark, sf_dir)).select("src", "dst")
 
 
-@query(_REACH + " SELECT DISTINCT dst FROM reach WHERE src IN (1, 2, 3)")
+@query(_REACH + " SELECT DISTINCT dst FROM reach WHERE src IN ('PROMO', 'click')")
 def affected(spark, sf_dir):
-    seeds = spark.createDataFrame([(1,), (2,), (3,)], "src bigint")
+    seeds = spark.createDataFrame([("PROMO",), ("click",)], "src string")
     return graph.reachable(spark, _edges(spark, sf_dir), seeds).select("dst").distinct()
 
 
@@ -283,7 +295,7 @@ def bounded_paths(spark, sf_dir):
 
 
 @query(_REACH + """,
-    n AS (SELECT DISTINCT x AS node, x % 10 AS file, x % 4 AS package, x % 3 = 0 AS exported FROM (SELECT src AS x FROM edges UNION SELECT dst FROM edges)),
+    n AS (SELECT DISTINCT x AS node, x[1:2] AS file, x[1] AS package, length(x) % 3 = 0 AS exported FROM (SELECT src AS x FROM edges UNION SELECT dst FROM edges)),
     s AS (SELECT r.dst AS node, count(*) AS reach, count(DISTINCT c.file) AS files, count(DISTINCT c.package) AS packages FROM (SELECT DISTINCT src, dst FROM reach WHERE src <> dst) r JOIN n c ON c.node = r.src GROUP BY r.dst),
     b AS (SELECT node, reach, files, packages, exported, 2 * reach + files + packages + CASE WHEN exported THEN 5 ELSE 0 END AS score FROM s JOIN n USING (node))
     SELECT node, reach, files, packages, exported, score, CASE WHEN score >= 25 THEN 'high' WHEN score >= 8 THEN 'medium' ELSE 'low' END AS level FROM b ORDER BY score DESC, file_order(node) LIMIT 10
@@ -291,7 +303,7 @@ def bounded_paths(spark, sf_dir):
 def blast_score(spark, sf_dir):
     e = _edges(spark, sf_dir)
     x = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    nodes = x.select("node", (F.col("node") % 10).alias("file"), (F.col("node") % 4).alias("package"), (F.col("node") % 3 == 0).alias("exported"))
+    nodes = x.select("node", F.left("node", F.lit(2)).alias("file"), F.left("node", F.lit(1)).alias("package"), (F.length("node") % 3 == 0).alias("exported"))
     found = graph.blast_radius(graph.reachable(spark, e), nodes)
     return K.top(found, [F.desc("score"), "node"], 10).select("node", "reach", "files", "packages", "exported", "score", "level")
 
@@ -302,13 +314,11 @@ def cycles(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS src, l_suppkey + 1 + l_linenumber % 2 AS dst FROM lineitem WHERE l_suppkey <= 8),
-    p AS (SELECT src AS root, [src, dst] AS path FROM e UNION ALL SELECT root, list_append(path, dst) FROM p JOIN e ON e.src = path[-1] WHERE NOT list_contains(path, dst) AND len(path) <= 12)
-    SELECT root AS node, CAST(max(len(path) - 1) AS INTEGER) AS length FROM p GROUP BY root
+    SELECT DISTINCT p_brand AS node, 3 AS length FROM part UNION SELECT p_type, 2 FROM part UNION SELECT split_part(p_name, ' ', 1), 1 FROM part
 """)
 def longest_chain(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").filter("l_suppkey <= 8").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") + 1 + F.col("l_linenumber") % 2).alias("dst")).distinct()
-    return graph.longest_chain(e)
+    """GR-6 over the graph of names, which has levels."""
+    return graph.longest_chain(spark, _names(spark, sf_dir))
 
 
 @query("""
@@ -332,13 +342,17 @@ def cost_of_pass(spark, sf_dir):
 
 
 @query("""
-    WITH w AS (SELECT sum(CASE event_type WHEN 'error' THEN 10.0 WHEN 'purchase' THEN 3.0 WHEN 'click' THEN 0.5 ELSE 0 END) AS w, count(*) AS n FROM events)
-    SELECT CAST(round(100.0 / (1.0 + w / greatest(1.0, n / 1000.0) / 50.0), 6) AS DOUBLE) AS score FROM w
+    WITH f AS (SELECT CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' ELSE 'info' END AS severity, CASE user_id % 4 WHEN 0 THEN 'complexity' WHEN 1 THEN 'untested-package' WHEN 2 THEN 'test-only-live' ELSE 'dead-code' END AS rule, event_id % 50 AS value FROM events),
+         s AS (SELECT *, CASE severity WHEN 'error' THEN 3.0 WHEN 'warning' THEN 1.0 ELSE 0.25 END AS base FROM f),
+         w AS (SELECT sum(CAST(CASE rule WHEN 'complexity' THEN base * greatest(0.15, least(1.0, (value - 10) / 10)) / greatest(1.0, 2500 / 1000) WHEN 'untested-package' THEN 1.0 WHEN 'test-only-live' THEN 0.0 ELSE base END AS DOUBLE)) AS w FROM s)
+    SELECT CAST(round(100 / (1 + w / 50), 6) AS DOUBLE) AS score FROM w
 """)
 def health_score(spark, sf_dir):
-    weights = spark.createDataFrame([("error", 10.0), ("purchase", 3.0), ("click", 0.5)], "event_type string, w double")
-    e = table(spark, sf_dir, "events").join(F.broadcast(weights), "event_type", "left")  # three rows
-    return e.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"), F.count("*").alias("n")).select(F.round(100 / (1 + F.col("w") / F.greatest(F.lit(1.0), F.col("n") / 1000) / 50), 6).alias("score"))
+    """AG-9 over findings made of events; 2,500 functions."""
+    severity = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "warning").otherwise("info")
+    rule = F.when(F.col("user_id") % 4 == 0, "complexity").when(F.col("user_id") % 4 == 1, "untested-package").when(F.col("user_id") % 4 == 2, "test-only-live").otherwise("dead-code")
+    e = table(spark, sf_dir, "events").select(severity.alias("severity"), rule.alias("rule"), (F.col("event_id") % 50).alias("value"), F.lit(10).cast("bigint").alias("threshold"))
+    return findings.health(e, 2500)
 
 
 @query("""
@@ -463,3 +477,6 @@ def prefix_dependency(spark, sf_dir):
 def dynamic_field(spark, sf_dir):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).filter("k > 90")
+
+
+from tessera.plans import scalars, sources  # noqa: E402, F401  (they register their queries here)

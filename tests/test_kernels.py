@@ -111,7 +111,7 @@ def test_paths(spark):
     assert ("D>A>B>C>A", True) in {(">".join(r.path), r.is_cycle) for r in t}
     assert graph.shortest_path(spark, e, "D", "C") == ["D", "A", "B", "C"]
     assert graph.shortest_path(spark, e, "A", "D") is None
-    assert dict(rows(graph.longest_chain(e)))["D"] == 3
+    assert dict(rows(graph.longest_chain(spark, e)))["D"] == 3
 
 
 def test_call_resolution_and_blast(spark):
