@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm.decontaminate import decontaminate
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.licenses import license_scan, license_scan_sql
-from tessera.llm.repeats import remove_repeats
+from tessera.llm.repeats import remove_repeats, remove_repeats_sql
 from tessera.llm.secrets import secret_scan
 from tessera.llm.secrets_sql import secret_scan_sql
 from tessera.llm.sentencepiece_codec import round_trips
@@ -110,4 +110,5 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op6_licenses": license_scan_sql(PATH_SQL.format(div="//")),
     "op8_warc": derivatives_sql(),
+    "op10_repeats": remove_repeats_sql(),
 }

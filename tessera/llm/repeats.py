@@ -381,9 +381,11 @@ def _repeated(parts: list[bytes], docs: np.ndarray, places: list[list[int]], len
     # end break no run: they take no part in it.
     usable = array[enough[array]]
     position = np.flatnonzero(enough[array])
-    low = np.minimum.reduceat(common[array], np.concatenate(([0], position[:-1] + 1))) if len(position) else np.empty(0)
     if not len(usable):
         return docs[:0], docs[:0], docs[:0]
+    # What two neighbours among them have in common is the least over the suffixes up to the latter; those
+    # behind the last one are no part of it.
+    low = np.minimum.reduceat(common[array[: position[-1] + 1]], np.concatenate(([0], position[:-1] + 1)))
     fresh = np.concatenate(([True], low[1:] < length))
     owner = docs[part[usable]]
     least = np.minimum.reduceat(owner, np.flatnonzero(fresh))
@@ -523,3 +525,21 @@ def remove_repeats(
     unknown = every.filter("doc_id IS NULL").select("doc_id", "data", F.lit(0).cast("bigint").alias("base"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("gone"))
     joined = texts.join(gone, "doc_id", "left").select("doc_id", "data", "base", "gone").union(unknown)
     return joined.mapInArrow(_finish(kept), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * kept)
+
+
+def remove_repeats_sql(length: int = 50) -> str:
+    """The same over ``documents`` as DuckDB SQL: every string of every text, then runs of what goes."""
+    return f"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    s AS (SELECT doc_id, i, substring(h, 2 * i + 1, {2 * length}) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {length - 1}, 0))) AS i FROM d)),
+    least AS (SELECT g, min(doc_id) AS least FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+    hit AS (SELECT doc_id, i FROM s JOIN least USING (g) WHERE doc_id > least),
+    fresh AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS f FROM hit),
+    run AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM fresh),
+    gone AS (SELECT doc_id, k, min(i) AS a, max(i) + {length} AS b FROM run GROUP BY doc_id, k),
+    part AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p, a AS q FROM gone UNION ALL SELECT doc_id, max(b), 1000000000000 FROM gone GROUP BY doc_id),
+    kept AS (SELECT doc_id, string_agg(substring(h, 2 * p + 1, 2 * (least(q, length(h) // 2) - p)), '' ORDER BY p) AS h FROM part JOIN d USING (doc_id) GROUP BY doc_id),
+    sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id)
+    SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+    """
