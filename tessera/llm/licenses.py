@@ -78,7 +78,7 @@ def license_scan(
     headers = scratch.table(rows.select("doc_id", "path", F.posexplode(lines).alias("line_no", "line")))
     distinct = headers.groupBy("line").agg(F.count("*").alias("times")).select("line", "times", tokens(F.col("line")).alias("words"))
     distinct = scratch.table(distinct.filter("size(words) > 0"))
-    counts = distinct.select("times", F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.sum("times").alias("n"))
+    counts = scratch.table(distinct.select("times", F.explode(F.array_distinct("words")).alias("token")).groupBy("token").agg(F.sum("times").alias("n")))
     total = distinct.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     base = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(templates)], "template int, license string, notice string")
     mine = weighted(distinct.select("line", "words"), ["line"], counts, total)
@@ -87,19 +87,19 @@ def license_scan(
     other = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("other"))
     dots = mine.join(theirs.withColumnRenamed("weight", "theirs"), "token").groupBy("line", "template", "license").agg(F.sum(F.col("weight") * F.col("theirs")).alias("dot"))
     cosine = dots.join(norm.hint("merge"), "line").join(other, "template").select("line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("other")), 6).alias("score"))
-    scored = cosine.filter(F.col("score") >= least).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
+    scored = scratch.table(cosine.filter(F.col("score") >= least).groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best")))
     own = headers.join(scored.hint("merge"), "line").groupBy("doc_id", "path").agg(F.min(F.struct("best.score", "best.license", "line_no")).alias("b"))
     own = scratch.table(own.select("doc_id", "path", F.col("b.license").alias("license"), (-F.col("b.score")).alias("score")))
 
     folder = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_replace(c, "/[^/]*$", "")).otherwise(F.when(c.isNotNull(), ""))
     files = own.filter(F.regexp_replace("path", "^.*/", "").rlike(f"^{LICENCE_FILE}$")).select(folder(F.col("path")).alias("above"), "license", "score", "path")
-    files = files.groupBy("above").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "path")).alias("f"))
+    files = scratch.table(files.groupBy("above").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "path")).alias("f")))
     parts = F.split("folder", "/", -1)
-    folders = rows.select(folder(F.col("path")).alias("folder")).filter("folder IS NOT NULL").distinct()
+    folders = scratch.table(rows.select(folder(F.col("path")).alias("folder")).filter("folder IS NOT NULL").distinct())
     above = folders.select("folder", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"))
     above = above.select("folder", "depth", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/").alias("above"))
     heirs = above.join(files.hint("merge"), "above").groupBy("folder").agg(F.max_by("f", "depth").alias("f"))
-    heirs = heirs.select("folder", F.col("f.license").alias("their_license"), (-F.col("f.s")).alias("their_score"), F.col("f.path").alias("their_path"))
+    heirs = scratch.table(heirs).select("folder", F.col("f.license").alias("their_license"), (-F.col("f.s")).alias("their_score"), F.col("f.path").alias("their_path"))
     mine = own.select(F.col("doc_id").alias("d"), F.col("path").alias("p"), F.col("license").alias("l"), F.col("score").alias("s"))
     out = rows.select("doc_id", "path", folder(F.col("path")).alias("folder"))
     out = out.join(mine.hint("merge"), out.doc_id.eqNullSafe(mine.d) & out.path.eqNullSafe(mine.p), "left").join(heirs.hint("merge"), "folder", "left")
