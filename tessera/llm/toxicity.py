@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words become the symbols insult, threat, target, negator, report or other; insults are accepted by a
-prefix tree whose weights come from labelled documents. Three transducers rewrite a clause's symbols:
-*negation* marks what follows a negator closely, *report* what follows a verb of speech, *target* what
-stands near a person. Their composition is one deterministic machine; its outputs, not the words alone,
-are what a document is scored on.
+prefix tree whose weights come from labelled documents. Five transducers read a clause's symbols one after
+another: *insult* writes an event for an insulting word, *threat* for a threatening verb that a person
+follows, *target* marks events near a person, *negation* those that follow a negator closely, *report*
+those that follow a verb of speech. A sixth keeps the strongest event of a clause and writes it at the
+clause's end. Their composition is one deterministic machine with weights on its outputs: a document is
+scored on the clauses it matched and the weights of their paths, never on words alone.
 """
 
 from __future__ import annotations
@@ -29,15 +31,20 @@ REPORTS = "said says wrote claimed quoted reported called sagte schrieb behaupte
 
 OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORT, END = range(7)
 CLASSES = ("insult", "targeted_insult", "negated_insult", "reported_insult", "threat", "targeted_threat", "negated_threat", "reported_threat")
-#: Prior weights of the clause classes, by any and by logarithm of their number, and of no clause at all.
+#: Of two events of a clause the one that stands first here is the clause's class.
+STRENGTH = ("targeted_insult", "insult", "targeted_threat", "threat", "negated_insult", "reported_insult", "negated_threat", "reported_threat")
+#: Prior weights of the clause classes, by any and by logarithm of their number, of the logarithm of the insults'
+#: weights together, and of no clause at all.
 PRIOR_ANY = np.array([3.0, 4.0, 1.0, 0.5, 0.3, 2.0, 0.0, 0.0])
 PRIOR_MANY = np.array([1.5, 1.5, 0.5, 0.3, 0.1, 1.0, 0.0, 0.0])
+PRIOR_WEIGHT = 0.5
 PRIOR_NONE = -3.0
 _token = re.compile(r"\w+|[.!?;\n]")
 
 
 class Transducer:
-    """Deterministic: ``step(state, symbol) -> (state, symbol)``. A symbol is (kind, marks)."""
+    """Deterministic: ``step(state, symbol) -> (state, symbol)``. A symbol is (kind, event, marks); an event is
+    "insult", "threat" or, where nothing was found, "". After a clause's end the state is the start again."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
@@ -53,87 +60,145 @@ class Transducer:
         return Transducer((self.start, then.start), step)
 
 
-def near(trigger: int, mark: str, reach: int) -> Transducer:
-    """Marks insults and threats within ``reach`` symbols after a trigger; a clause's end resets it."""
+def insult() -> Transducer:
+    """An insulting word is an event."""
+    return Transducer(0, lambda state, symbol: (0, (symbol[0], "insult", symbol[2]) if symbol[0] == INSULT else symbol))
+
+
+def threat(reach: int) -> Transducer:
+    """A threatening verb and a person within ``reach`` symbols after it are an event, at the person."""
 
     def step(state, symbol):
-        kind, marks = symbol
-        if kind == END:
-            return 0, symbol
-        if kind == trigger:
+        kind, event, marks = symbol
+        if kind == THREAT:
             return reach, symbol
-        if state and kind in (INSULT, THREAT):
-            return state - 1, (kind, marks | {mark})
-        return max(0, state - 1), symbol
+        if kind == TARGET and state:
+            return 0, (kind, "threat", marks)
+        return (0 if kind == END else max(0, state - 1)), symbol
+
+    return Transducer(0, step)
+
+
+def near(trigger: int, mark: str, reach: int) -> Transducer:
+    """Marks events within ``reach`` symbols after a trigger. A threat's own person is no trigger for it."""
+
+    def step(state, symbol):
+        kind, event, marks = symbol
+        marked = (kind, event, marks | {mark}) if event and state else symbol
+        return (0 if kind == END else reach if kind == trigger else max(0, state - 1)), marked
 
     return Transducer(0, step)
 
 
 def rest_of_clause(trigger: int, mark: str) -> Transducer:
-    """Marks insults and threats after a trigger up to the clause's end."""
+    """Marks events after a trigger up to the clause's end."""
 
     def step(state, symbol):
-        kind, marks = symbol
-        state = 0 if kind == END else 1 if kind == trigger else state
-        return state, (kind, marks | {mark}) if state and kind in (INSULT, THREAT) else symbol
+        kind, event, marks = symbol
+        marked = (kind, event, marks | {mark}) if event and state else symbol
+        return (0 if kind == END else 1 if kind == trigger else state), marked
 
     return Transducer(0, step)
 
 
+def strongest() -> Transducer:
+    """Keeps a clause's strongest event and writes it, as the only mark, at the clause's end."""
+
+    def step(state, symbol):
+        kind, event, marks = symbol
+        if kind == END:
+            return "", (kind, "clause" if state else "", frozenset({state} if state else ()))
+        if event:
+            mark = next((m for m in ("reported", "negated", "targeted") if m in marks), "")
+            name = (mark + "_" if mark else "") + event
+            state = min((x for x in (state, name) if x), key=STRENGTH.index)
+        return state, (kind, "", frozenset())
+
+    return Transducer("", step)
+
+
+def grammar() -> Transducer:
+    return insult() @ threat(3) @ near(TARGET, "targeted", 4) @ near(NEGATOR, "negated", 3) @ rest_of_clause(REPORT, "reported") @ strongest()
+
+
 @functools.cache
 def machine() -> list[list[tuple[int, int]]]:
-    """The composed grammar as a table: by state and symbol the next state and the output class or -1."""
-    grammar = rest_of_clause(REPORT, "reported") @ near(NEGATOR, "negated", 3) @ near(TARGET, "targeted", 4)
-    numbers, states, table = {grammar.start: 0}, [grammar.start], []
+    """The composed grammar as a table: by state and symbol the next state, and the class of a clause that ends
+    there, or -1."""
+    whole = grammar()
+    numbers, states, table = {whole.start: 0}, [whole.start], []
     for state in states:
         row = []
         for kind in range(7):
-            then, (_, marks) = grammar.step(state, (kind, frozenset()))
+            then, (_, event, marks) = whole.step(state, (kind, "", frozenset()))
             if then not in numbers:
                 numbers[then] = len(states)
                 states.append(then)
-            out = -1
-            if kind in (INSULT, THREAT):
-                mark = next((m for m in ("reported", "negated", "targeted") if m in marks), "")
-                out = CLASSES.index((mark + "_" if mark else "") + ("insult" if kind == INSULT else "threat"))
-            row.append((numbers[then], out))
+            row.append((numbers[then], CLASSES.index(*marks) if event == "clause" else -1))
         table.append(row)
     return table
 
 
 class Lexicon:
-    """Symbols of words. ``insults`` maps prefixes, or whole words after ``=``, to positive weights."""
+    """Symbols of words. ``insults`` maps beginnings, or whole words after ``=``, to positive weights; they are
+    held as a prefix tree of characters."""
 
     def __init__(self, insults: dict[str, float]):
-        self.insults = insults
-        self.lengths = sorted({len(k) for k in insults if k[0] != "="}, reverse=True)
+        self.tree: dict = {}
+        for key, weight in insults.items():
+            node = self.tree
+            for c in key.removeprefix("="):
+                node = node.setdefault(c, {})
+            which = "whole" if key[0] == "=" else "begins"
+            node[which] = max(weight, node.get(which, 0.0))
         fixed = ((TARGETS, TARGET), (NEGATORS, NEGATOR), (REPORTS, REPORT), (THREATS, THREAT))
         self.fixed = {w: kind for words, kind in fixed for w in words} | dict.fromkeys(".!?;\n", END)
-        self.memo: dict[str, int] = {}
-
-    def symbol(self, word: str) -> int:
-        kind = self.memo.get(word)
-        if kind is None:
-            if "=" + word in self.insults or any(word[:n] in self.insults for n in self.lengths if n <= len(word)):
-                kind = INSULT
-            else:
-                kind = self.fixed.get(word, OTHER)
-            if len(self.memo) > 500_000:
+        self.memo: dict[str, tuple[int, float]] = {}
+
+    def weight(self, word: str) -> float:
+        """The greatest weight of what the tree accepts of a word; 0 if nothing."""
+        node, best = self.tree, 0.0
+        for c in word:
+            node = node.get(c)
+            if node is None:
+                return best
+            best = max(best, node.get("begins", 0.0))
+        return max(best, node.get("whole", 0.0))
+
+    def symbol(self, word: str) -> tuple[int, float]:
+        got = self.memo.get(word)
+        if got is None:
+            weight = self.weight(word)
+            got = (INSULT, weight) if weight else (self.fixed.get(word, OTHER), 0.0)
+            if len(self.memo) >= MEMO_WORDS:
                 self.memo.clear()
-            self.memo[word] = kind
-        return kind
+            self.memo[word] = got
+        return got
 
     def features(self, text: str) -> np.ndarray:
-        """Clauses of each class: whether there are any, and the logarithm of 1 + their number."""
-        kinds = list(map(self.symbol, _token.findall(text.lower())))
-        counts = np.zeros(len(CLASSES))
-        if INSULT in kinds or THREAT in kinds:
-            table, state = machine(), 0
-            for kind in kinds:
+        """Clauses of each class: whether there are any, and the logarithm of 1 + their number; the logarithm of
+        1 + the weights of clauses that are neither negated nor reported, a clause's weight being the sum over
+        its path. A clause whose strongest insult weighs under STRONG counts by its weight only."""
+        counts, total = np.zeros(len(CLASSES)), 0.0
+        symbol, known = self.symbol, self.memo.get
+        read = [known(w) or symbol(w) for w in _token.findall(text.lower())]
+        if any(kind in (INSULT, THREAT) for kind, _ in read):
+            table, state, best, path = machine(), 0, 0.0, 0.0
+            for kind, weight in (*read, (END, 0.0)):
                 state, out = table[state][kind]
+                best, path = max(best, weight), path + weight
                 if out >= 0:
-                    counts[out] += 1
-        return np.concatenate((counts > 0, np.log1p(counts)))
+                    counts[out] += out > 3 or best >= STRONG
+                    if out < 2:
+                        total += path
+                if kind == END:
+                    best = path = 0.0
+        return np.concatenate((counts > 0, np.log1p(counts), [np.log1p(total)]))
+
+
+MEMO_WORDS = 200_000
+#: The weight from which one insult tells by itself: nine in ten rows that hold it are toxic.
+STRONG = math.log(9)
 
 
 def prefixes(text: str) -> set[str]:
@@ -163,19 +228,20 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray, rid
     return w
 
 
-PRIOR = np.concatenate((PRIOR_ANY, PRIOR_MANY, [PRIOR_NONE]))
+PRIOR = np.concatenate((PRIOR_ANY, PRIOR_MANY, [PRIOR_WEIGHT, PRIOR_NONE]))
 
 
-def train(spark: SparkSession, labelled: DataFrame, *, sample_rows: int = 20_000, least_share: float = 0.02, least_rows: float = 5.0, purity: float = 0.9) -> tuple[dict[str, float], np.ndarray]:
+def train(spark: SparkSession, labelled: DataFrame, *, sample_rows: int = 20_000, least_share: float = 0.02, least_rows: float = 5.0, purity: float = 0.7) -> tuple[dict[str, float], np.ndarray]:
     """(insult weights, class weights) from ``doc_id, text, label``.
 
     A sample of about ``sample_rows`` labelled rows, chosen by hash of the id, bounds what is learned
     from; with no labelled rows of both kinds the built-in lists and prior weights stay. Near copies
     (rows of one sketch) count as one row together. A prefix or word becomes an insult if toxic rows of
     the weight of ``least_rows`` and ``least_share`` of all toxic rows hold it, and ``purity`` of the rows
-    that hold it are toxic; of prefixes that the same rows hold the longest is taken.
+    that hold it are toxic; its weight is the logarithm of the odds. Of prefixes that the same rows hold the
+    longest is taken.
     """
-    insults, weights = {"=" + w: 1.0 for w in INSULTS}, PRIOR
+    insults, weights = {"=" + w: 3.0 for w in INSULTS}, PRIOR
     total = labelled.count()
     if not total:
         return insults, weights
@@ -245,7 +311,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, model: tuple[dict[str, float]
 
         def work(ids, texts):
             x = np.array([words.features(t) for t in texts])
-            n = np.expm1(x[:, len(CLASSES) :]).round().astype(np.int64)
+            n = np.expm1(x[:, len(CLASSES) : 2 * len(CLASSES)]).round().astype(np.int64)
             return {"doc_id": ids, "score": score(x, weights).tolist(), "n_clauses": n.sum(axis=1).tolist()}
 
         return work
