@@ -325,6 +325,12 @@ def test_contexts_that_collide_in_32_bits(spark):
     assert all(x.n_removed == 0 for x in repeats.remove_repeats(spark, df).collect())
 
 
+def test_the_greatest_usable_suffix_of_a_shard():
+    part = b"b" + b"a" * 49 + b"zz"  # greater than its last usable suffix are the suffixes too short to count
+    got = repeats._repeated([part, part], np.array([1, 2]), [[0], [7]], 50)
+    assert [x.tolist() for x in got] == [[2], [7], [59]]
+
+
 def test_a_batch_confirms_bytes():
     raw = np.frombuffer(b"abcabdabcx", np.uint8)
     fresh = repeats._confirmed(raw, np.array([0, 3, 6]), np.array([3, 3, 3]), np.array([True, False, False]))
@@ -439,16 +445,84 @@ def test_decontaminate_finds_edited_copies_beside_exact_ones(spark):
 # --- toxicity
 
 
+def classes_of(words, text):
+    return {toxicity.CLASSES[k] for k, x in enumerate(words.features(text)[: len(toxicity.CLASSES)]) if x}
+
+
 def test_grammar_composes():
-    words = toxicity.Lexicon({"=idiot": 1.0, "schwach": 1.0})
-    classes = lambda t: {toxicity.CLASSES[k] for k, x in enumerate(words.features(t)[: len(toxicity.CLASSES)]) if x}
+    words = toxicity.Lexicon({"=idiot": 3.0, "schwach": 4.0, "=vague": 1.0})
+    classes = lambda t: classes_of(words, t)
     assert classes("What an idiot!") == {"insult"}
     assert classes("You are an idiot.") == {"targeted_insult"}
     assert classes("That is not an idiot.") == {"negated_insult"}
     assert classes("She said he is an idiot.") == {"reported_insult"}
     assert classes("She said so. An idiot.") == {"insult"}
-    assert classes("I will kill time") == {"threat"} and classes("They will kill") == {"targeted_threat"}
+    assert classes("I will kill time") == set() and classes("I will kill you") == {"threat"}
+    assert classes("They will kill you") == {"targeted_threat"} and classes("We never hurt them") == {"negated_threat"}
     assert classes("Du Schwachkopf") == {"targeted_insult"} and classes("") == set()
+    assert classes("An idiot, not an idiot") == {"insult"}  # a clause counts once, by its strongest event
+    assert words.weight("schwachkopf") == 4.0 and words.weight("idiots") == 0.0 and words.weight("idiot") == 3.0
+    assert classes("A vague idea") == set() and np.isclose(words.features("vague, vague")[-1], np.log1p(2.0))
+    x = words.features("Idiot idiot. Schwachkopf! not schwach")
+    assert np.isclose(x[-1], np.log1p(3.0 + 3.0 + 4.0)) and np.isclose(x[len(toxicity.CLASSES)], np.log1p(2))
+
+
+def brute_clauses(kinds: list[int]) -> list[str]:
+    """The grammar read off its description, clause by clause, without any machine."""
+    out, clause = [], []
+    for kind in [*kinds, toxicity.END]:
+        if kind != toxicity.END:
+            clause.append(kind)
+            continue
+        events, verb = [], None
+        for i, k in enumerate(clause):
+            if k == toxicity.THREAT:
+                verb = i
+            event = "insult" if k == toxicity.INSULT else ""
+            if k == toxicity.TARGET and verb is not None and i - verb <= 3:
+                event, verb = "threat", None
+            if event:
+                past = lambda kind, reach: any(x == kind for x in clause[max(0, i - reach) : i])  # noqa: B023, E731
+                mark = "reported_" if past(toxicity.REPORT, i) else "negated_" if past(toxicity.NEGATOR, 3) else "targeted_" if past(toxicity.TARGET, 4) else ""
+                events.append(mark + event)
+        if events:
+            out.append(min(events, key=toxicity.STRENGTH.index))
+        clause = []
+    return out
+
+
+def test_machine_is_the_grammar():
+    r, table = random.Random(8), toxicity.machine()
+    for _ in range(3000):
+        kinds = [r.choice(range(7)) if r.random() < 0.6 else toxicity.OTHER for _ in range(r.randint(0, 25))]
+        state, got = 0, []
+        for kind in (*kinds, toxicity.END):
+            state, out = table[state][kind]
+            got += [toxicity.CLASSES[out]] if out >= 0 else []
+        assert got == brute_clauses(kinds) and state == 0
+
+
+@pytest.mark.parametrize(("scale", "least"), [("sf0.01", 0.8), ("sf0.1", 0.88)])
+def test_toxicity_recall_of_held_out_rows(spark, scale, least):
+    folder = f"/root/testdata/{scale}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train_on(spark, docs, labels)
+    rows = toxicity.toxicity(spark, docs, model).join(labels, "doc_id").filter(toxicity.held_out()).select("score", "toxic").collect()
+    caught, toxic = sum(r.score >= 0.7 and r.toxic == 1 for r in rows), sum(r.toxic == 1 for r in rows)
+    assert caught >= least * toxic and sum(r.score >= 0.7 and r.toxic == 0 for r in rows) <= 0.02 * caught + 1
+
+
+def test_toxicity_of_odd_labels_and_texts(spark):
+    docs = spark.createDataFrame([(i, ("vile zorgle " if i % 2 else "") + prose(20, i)) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([x for i in range(60) for x in ((i, i % 2), (i, 0), (i, None), (None, 1))], "doc_id bigint, toxic int")
+    one, two = (toxicity.train_on(spark, docs, x) for x in (labels, labels.orderBy(F.desc("toxic"))))
+    assert one[0] == two[0] and np.allclose(one[1], two[1]) and any(k.startswith(("=zorg", "zorg", "=vile")) for k in one[0])
+    odd_docs = spark.createDataFrame([(1, "x " * 200_000 + "you idiot."), (1, "x " * 200_000 + "you idiot."), (2, None)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.n_clauses) for r in toxicity.toxicity(spark, odd_docs, one).collect())
+    assert got == [(1, 1), (1, 1), (2, 0)]
+    assert [r.doc_id for r in toxicity.under(odd_docs, one, 0.7).collect()] == [2]
 
 
 def test_toxicity_learns_and_holds_out(spark):
