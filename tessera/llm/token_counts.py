@@ -57,13 +57,17 @@ def count_segment(segment: str, pieces: Pieces) -> int:
     return count
 
 
+#: Counts take little beside their words, and working one out takes long.
+MEMO_BYTES = 224 << 20
+
+
 def counter(model: bytes) -> Memo:
     store = keeping("token counts")
     if model not in store:
         pieces = load(model)
         if pieces.kind != BPE:
             raise ValueError("merging needs a byte-pair model")
-        store[model] = Memo(pieces, lambda new: [count_segment(s, pieces) for s in new], sum)
+        store[model] = Memo(pieces, lambda new: [count_segment(s, pieces) for s in new], sum, MEMO_BYTES)
     return store[model]
 
 
