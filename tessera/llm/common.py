@@ -27,7 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a scratch table is written: it replaces its shuffle files, and workers get batches of a few megabytes.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 class Scratch:
@@ -42,12 +43,14 @@ class Scratch:
         """Write ``df`` and return it reread, with its path."""
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        before = self.spark.conf.get(FREE_SHUFFLES)
-        self.spark.conf.set(FREE_SHUFFLES, "true")  # the table replaces its shuffle files
+        before = {k: self.spark.conf.get(k) for k in WRITING}
+        for k, v in WRITING.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(FREE_SHUFFLES, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def table(self, df: DataFrame) -> DataFrame:

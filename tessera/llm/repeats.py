@@ -30,9 +30,9 @@ from tessera.llm.common import Scratch, text_or_empty
 from tessera.llm.suffixes import permuted_prefixes, suffix_array
 
 GRAM = 12
-SLICE_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
-CELL_RECORDS = 1 << 19
+SLICE_BYTES = 1 << 18
+BATCH_BYTES = 4 << 20
+CELL_RECORDS = 1 << 18
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BASE = 0xD6E8FEB86659FD93
 
@@ -224,8 +224,8 @@ def _sketch(length: int, cells: int):
 def _confirmed(raw: np.ndarray, at: np.ndarray, size: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     """``fresh`` with a new run also where a segment's bytes differ from those of the one before it."""
     same = np.flatnonzero(~fresh)
-    for low in range(0, len(same), 1 << 15):
-        k = same[low : low + (1 << 15)]
+    for low in range(0, len(same), 1 << 12):
+        k = same[low : low + (1 << 12)]
         wide = int(size[k].max())
         reach = np.arange(wide)
         inside = reach < size[k][:, None]
@@ -478,8 +478,8 @@ def remove_repeats(
     id_col: str = "doc_id",
     text_col: str = "text",
     length: int = 50,
-    shard_bytes: int = 1 << 20,
-    cell_bytes: int = 4 << 20,
+    shard_bytes: int = 1 << 18,
+    cell_bytes: int = 2 << 20,
     crowded: int = 4096,
     kept: bool = False,
 ) -> DataFrame:
