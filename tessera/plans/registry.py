@@ -118,14 +118,14 @@ def partial_division(spark, sf_dir):
 
 
 @query("""
-    WITH m AS (SELECT DISTINCT p_brand AS brand, p_type AS type FROM part), need AS (SELECT DISTINCT p_brand || '/' || p_size AS grp, p_type AS type FROM part),
-         size AS (SELECT grp, count(*) AS needed FROM need GROUP BY grp), met AS (SELECT brand, grp, count(*) AS n FROM m JOIN need USING (type) GROUP BY brand, grp)
+    WITH m AS (SELECT DISTINCT p_brand AS brand, p_name AS name FROM part), need AS (SELECT DISTINCT p_type || '/' || p_size AS grp, p_name AS name FROM part),
+         size AS (SELECT grp, count(*) AS needed FROM need GROUP BY grp), met AS (SELECT brand, grp, count(*) AS n FROM m JOIN need USING (name) GROUP BY brand, grp)
     SELECT grp, min(brand) AS brand FROM met JOIN size USING (grp) WHERE n = needed GROUP BY grp HAVING count(*) = 1
 """)
 def sole_implementation(spark, sf_dir):
-    """Sizes of a brand whose types one brand alone offers."""
-    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("grp"))
-    return K.sole_implementations(K.division(p, p, "brand", "grp", "type"), "grp", "brand")
+    """Sizes of a type all of whose names one brand alone offers."""
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("grp"))
+    return K.sole_implementations(K.division(p, p, "brand", "grp", "name"), "grp", "brand")
 
 
 @query("""

@@ -90,7 +90,7 @@ def first_findings(spark, sf_dir):
     return kernels.numbered(f.withColumn("one", F.lit(1)), ["one"], ["file", "line", "rule", "severity", "message"]).select("file", "line", "rule", "severity", "message", C("n").cast("long").alias("n"))
 
 
-@query(f"WITH {_FINDINGS} SELECT count(*) FILTER (severity = 'error') AS errors, 1 AS dark, FALSE AS green FROM f")
+@query(f"WITH {_FINDINGS} SELECT count(*) FILTER (severity = 'error') AS errors, CAST(1 AS BIGINT) AS dark, FALSE AS green FROM f")
 def gate_verdict(spark, sf_dir):
     """The verdict: new errors, and gating tools that didn't run."""
     tools = spark.createDataFrame([("a", True, "ran"), ("b", True, "absent"), ("c", False, "absent")], "name string, gating boolean, state string")
